@@ -1,8 +1,8 @@
 """Byte-level BPE by a hierarchical-bitmap rank queue.
 
 A pre-token's bytes form a linked list. Each adjacent pair whose bytes have a rank waits in the bucket of
-that rank; three levels of 64-bit words say which buckets hold something, so the lowest rank is found by
-three find-first-set steps. Entries whose pair has changed since are stale and are skipped. A pre-token of
+that rank; words of 2^WORD bits say which buckets hold something, and one word above says which of them do, so the
+lowest rank is found by two find-first-set steps. Entries whose pair has changed since are stale and are skipped. A pre-token of
 n bytes takes O(n log n) steps however long it is, where rescanning takes O(n^2).
 
 Null text is taken as empty; empty text has no ids. Bytes that are not UTF-8 are replaced by U+FFFD first.
@@ -12,6 +12,8 @@ Repeated rows give repeated results. Columns beside the text column are kept as
 from __future__ import annotations
 
 import base64
+import re
+from array import array
 from functools import lru_cache
 from heapq import heappop, heappush
 
@@ -23,113 +25,124 @@ from pyspark.sql import functions as F
 
 from quoin.llm.common import BATCH_BYTES
 
-#: Pre-tokens whose ids a worker remembers; beyond that it starts anew. Only speed depends on it.
-MEMO = 150_000
-#: Longer pre-tokens are never remembered.
+#: Words and pre-tokens whose ids a worker remembers; beyond that it starts anew. Only speed depends on it.
+MEMO = 400_000
+#: Longer ones are never remembered.
 MEMO_CHARS = 64
+#: Bits of a bitmap word.
+WORD = 8
 
-
-class RankQueue:
-    """Positions by rank, lowest rank and then lowest position first."""
-
-    def __init__(self, ranks: int) -> None:
-        self.buckets: list[list[int] | None] = [None] * ranks
-        self.low = [0] * (ranks // 64 + 1)
-        self.mid = [0] * (ranks // 4096 + 1)
-        self.top = 0
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets[rank]
-        if not bucket:
-            if bucket is None:
-                bucket = self.buckets[rank] = []
-            self.low[rank >> 6] |= 1 << (rank & 63)
-            self.mid[rank >> 12] |= 1 << (rank >> 6 & 63)
-            self.top |= 1 << (rank >> 12)
-        heappush(bucket, position)
-
-    def pop(self) -> tuple[int, int] | None:
-        if not self.top:
-            return None
-        a = (self.top & -self.top).bit_length() - 1
-        m = self.mid[a]
-        b = a << 6 | (m & -m).bit_length() - 1
-        w = self.low[b]
-        rank = b << 6 | (w & -w).bit_length() - 1
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            self.buckets[rank] = None
-            self.low[b] &= w - 1
-            if not self.low[b]:
-                self.mid[a] &= m - 1
-                if not self.mid[a]:
-                    self.top &= self.top - 1
-        return rank, position
+#: White space and what follows up to the next: no pre-token reaches over such a piece's ends.
+pieces = re.compile(r"\s*\S+|\s+").findall
+#: White space to re, but not by the Unicode property.
+unsure = re.compile("[\x1c-\x1f]").search
 
 
 class Codec(dict):
-    """Maps a pre-token to its ids as little-endian unsigned 32-bit integers; a memo of bounded size."""
+    """Maps a piece of text to its ids as little-endian unsigned 32-bit integers; a memo of bounded size."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         super().__init__()
         self.ranks = ranks
         self.size = max(ranks.values(), default=0) + 1
-        self.queue = RankQueue(self.size)
         self.tokens: list[bytes] = [b""] * self.size
         for token, rank in ranks.items():
             self.tokens[rank] = token
+        # a pair of tokens has the rank of its bytes, however they are parted
+        self.pairs = {ranks[t[:i]] * self.size + ranks[t[i:]]: r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
+        self.bytes = [ranks.get(bytes([b])) for b in range(256)]
+        self.buckets: list[list[int] | None] = [None] * self.size  # positions by rank, lowest first
+        self.words = [0] * ((self.size >> WORD) + 1)  # which buckets of a word hold something
+        self.parts: dict[str, bytes] = {}
         # \s in the pattern means the Unicode White_Space property
         self.split = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}")).findall
 
     def merge(self, piece: bytes) -> list[int]:
         """The ids of one pre-token."""
-        ranks = self.ranks
-        if (whole := ranks.get(piece)) is not None:
+        if (whole := self.ranks.get(piece)) is not None:
             return [whole]
-        n, queue = len(piece), self.queue
+        n, size, pair, buckets, words = len(piece), self.size, self.pairs.get, self.buckets, self.words
+        token = [self.bytes[b] for b in piece]
         after, before = list(range(1, n + 2)), list(range(-1, n))
         now = [-1] * (n + 1)  # the rank of the pair that begins here
+        top = 0  # which words hold something
+        last = (1 << WORD) - 1
         for i in range(n - 1):
-            if (r := ranks.get(piece[i : i + 2])) is not None:
+            r = pair(token[i] * size + token[i + 1])
+            if r is not None:
                 now[i] = r
-                queue.push(r, i)
-        while (found := queue.pop()) is not None:
-            r, i = found
+                bucket = buckets[r]
+                if bucket is None:
+                    buckets[r] = [i]
+                    words[r >> WORD] |= 1 << (r & last)
+                    top |= 1 << (r >> WORD)
+                else:
+                    bucket.append(i)  # in ascending order, hence a heap
+        while top:
+            w = (top & -top).bit_length() - 1
+            x = words[w]
+            r = (w << WORD) + (x & -x).bit_length() - 1
+            bucket = buckets[r]
+            if len(bucket) > 1:
+                i = heappop(bucket)
+            else:
+                i = bucket[0]
+                buckets[r] = None
+                words[w] = x = x & (x - 1)
+                if not x:
+                    top &= top - 1
             if now[i] != r:
-                continue
+                continue  # stale
             gone = after[i]
-            now[gone] = -1
+            now[gone] = now[i] = -1
             after[i] = end = after[gone]
-            if end <= n:
-                before[end] = i
-            now[i] = -1
-            if end < n and (x := ranks.get(piece[i : after[end]])) is not None:
-                now[i] = x
-                queue.push(x, i)
+            before[end] = i
+            token[i] = r
             j = before[i]
-            if j >= 0:
-                x = ranks.get(piece[j:end])
-                was = now[j]
-                now[j] = -1 if x is None else x
-                if x is not None and x != was:
-                    queue.push(x, j)
-        ids, i = [], 0
+            for a, b in ((i, end), (j, i)):
+                if a < 0 or b >= n:
+                    continue
+                r2 = pair(token[a] * size + token[b])
+                if r2 is None:
+                    now[a] = -1
+                elif now[a] != r2:
+                    now[a] = r2
+                    bucket = buckets[r2]
+                    if bucket is None:
+                        buckets[r2] = [a]
+                        words[r2 >> WORD] |= 1 << (r2 & last)
+                        top |= 1 << (r2 >> WORD)
+                    else:
+                        heappush(bucket, a)
+        out, i = [], 0
         while i < n:
-            ids.append(ranks[piece[i : after[i]]])
+            out.append(token[i])
             i = after[i]
+        return out
+
+    def part(self, word: str) -> bytes:
+        """The ids of a pre-token."""
+        ids = self.parts.get(word)
+        if ids is None:
+            ids = array("I", self.merge(word.encode("utf-8"))).tobytes()
+            if len(word) <= MEMO_CHARS:
+                if len(self.parts) >= MEMO:
+                    self.parts.clear()
+                self.parts[word] = ids
         return ids
 
-    def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.merge(word.encode("utf-8")), dtype="<u4").tobytes()
-        if len(word) <= MEMO_CHARS:
+    def __missing__(self, piece: str) -> bytes:
+        ids = b"".join(map(self.part, self.split(piece)))
+        if len(piece) <= MEMO_CHARS:
             if len(self) >= MEMO:
                 self.clear()
-            self[word] = ids
+            self[piece] = ids
         return ids
 
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, self.split(text)))
+        if unsure(text):
+            return b"".join(map(self.part, self.split(text)))
+        return b"".join(map(self.__getitem__, pieces(text)))
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))

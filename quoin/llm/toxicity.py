@@ -106,19 +106,16 @@ def fit(rows: list[tuple[str, int]], rounds: int = 250, rate: float = 0.15, l2:
         return Model()
     support = [Counter(), Counter()]
     totals = [0, 0]
-    seen: set[str] = set()
-    bags: list[list[Counter]] = []
-    for text, y in rows:
-        bag = []
+    seen: set[int] = set()
+    for text, y in sorted(rows, key=lambda r: -r[1]):  # toxic ones first: only what they hold is counted in the others
         for m in sentences(text.lower()):
             s = m.group()
-            c = Counter(f for w in words(s) for f in features(w))
-            bag.append(c)
-            if s not in seen:  # copies must not vote twice
-                seen.add(s)
-                support[y].update(c.keys())
+            if (h := hash(s)) not in seen:  # copies must not vote twice
+                seen.add(h)
                 totals[y] += 1
-        bags.append(bag)
+                found = {f for w in words(s) for f in features(w)}
+                support[y].update(found if y else found & support[1].keys())
+    seen.clear()
     scored = []
     for f, k in support[1].items():
         n = k + support[0][f]
@@ -131,12 +128,13 @@ def fit(rows: list[tuple[str, int]], rounds: int = 250, rate: float = 0.15, l2:
     if not index:
         return Model()
     at_doc, at_row, at_col, val, n_rows = [], [], [], [], 0
-    for d, bag in enumerate(bags):
-        for c in bag:
-            hit = [(index[f], n) for f, n in c.items() if f in index]
+    support.clear()
+    for d, (text, _) in enumerate(rows):
+        for m in sentences(text.lower()):
+            hit = Counter(index[f] for w in words(m.group()) for f in features(w) if f in index)
             if hit:
                 at_doc.append(d)
-                for i, n in hit:
+                for i, n in hit.items():
                     at_row.append(n_rows)
                     at_col.append(i)
                     val.append(min(n, 3))

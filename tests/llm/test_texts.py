@@ -10,7 +10,7 @@ import pytest
 import tiktoken
 
 from quoin.llm import bpe, induced, mixing, pii, queries, simhash, suffix_dedup, toxicity
-from quoin.llm.bpe import Codec, RankQueue
+from quoin.llm.bpe import Codec
 
 PATH = public_tokenizers.path(queries.VOCABULARY)
 DDL = "doc_id long, text string, lang string, source string, n_chars long, _fp string, size int"
@@ -205,16 +205,12 @@ def test_bpe_long_pieces_and_odd_ranks():
         assert small.merge(s) == ([ranks[s]] if s in ranks else [ranks[p] for p in parts])
 
 
-def test_rank_queue():
-    rng, q, want = random.Random(3), RankQueue(50_000), []
-    for _ in range(5000):
-        if want and rng.random() < 0.45:
-            want.sort()
-            assert q.pop() == want.pop(0)
-        else:
-            x = (rng.randrange(50_000), rng.randrange(100))
-            q.push(*x)
-            want.append(x)
+def test_bpe_pieces_are_safe_to_part():
+    own, mine, rng = reference_encoding(), bpe.codec(PATH, public_tokenizers.PATTERN), random.Random(6)
+    odd = [chr(c) for c in range(0x3400) if chr(c).isspace()] + list("a'sé1!²½_ \n\t") + ["\u200b", "\u0301", "Ⅷ", "'ll", "  ", "\x1c", "漢", "😀"]
+    for _ in range(4000):
+        s = "".join(rng.choice(odd) for _ in range(rng.randint(1, 12)))
+        assert np.frombuffer(mine.encode(s), "<u4").tolist() == own.encode_ordinary(s), repr(s)
 
 
 def test_toxicity_learns_from_documents_and_finds_sentences(spark):
