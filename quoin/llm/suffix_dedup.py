@@ -4,7 +4,8 @@ A byte goes if a string of `length` bytes that covers it also starts earlier: in
 or further left in the same document. Strings do not cross documents and are judged on the input.
 
 1. Every window of `length` bytes has an anchor, the smallest k-gram hash in it; a run of windows with one anchor is a row.
-   Rows are dealt by the anchor's hash, so equal windows meet.
+   Each task first sorts its own rows and settles all but the first of each class of equal runs, so however many copies
+   there are, a class sends one row a task; these rows are dealt by the anchor's hash, so equal windows meet.
 2. Runs whose bytes are all equal (two 64-bit hashes) are one: only the earliest is sorted, the others are covered whole.
    Anchors with one such class are done.
 3. The remaining runs' bytes are suffix-sorted, some anchors together in a shard, by external induced sorting with common
@@ -76,30 +77,61 @@ def runs(length: int):
     return run
 
 
-def classes(batches):
-    """From runs sorted by (hash, same, place): which are covered whole (kind 0), and the first of each class where an anchor has several (kind 1).
+class Sorted:
+    """What a batch of rows sorted by (hash, same, place) shows, given the row before it. Rows: hash, same, doc_id, th, lo, n."""
 
-    Holds one batch, the row before it, and the first row of the anchor at hand.
-    """
-    before, pending, sent, like_first = None, None, True, False
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        h, same = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        place = [c.fill_null(2**63 - 1).to_numpy() for c in batch.columns[2:5]]
+    def __init__(self) -> None:
+        self.before, self.like_first = None, False
+
+    def read(self, rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """hash; whether a row begins an anchor; a class; is neither its class's first nor at the very place of it."""
+        h, same = rows[0].to_numpy(), rows[1].to_numpy()
+        place = [c.fill_null(2**63 - 1).to_numpy() for c in rows[2:5]]
         n = len(h)
         new_h, new_c, moved = (np.ones(n, dtype=bool) for _ in range(3))
         new_h[1:] = h[1:] != h[:-1]
         new_c[1:] = new_h[1:] | (same[1:] != same[:-1])
         moved[1:] = new_c[1:] | np.logical_or.reduce([p[1:] != p[:-1] for p in place])
-        if before is not None:
-            new_h[0] = h[0] != before[0]
-            new_c[0] = new_h[0] or same[0] != before[1]
-            moved[0] = new_c[0] or any(p[0] != b for p, b in zip(place, before[2], strict=True))
+        if self.before is not None:
+            new_h[0] = h[0] != self.before[0]
+            new_c[0] = new_h[0] or same[0] != self.before[1]
+            moved[0] = new_c[0] or any(p[0] != b for p, b in zip(place, self.before[2], strict=True))
         # rows at the very place of their class's first are the same document again: not covered
         start = np.maximum.accumulate(np.where(moved, np.arange(n), -1))
-        first_like = np.where(start >= 0, new_c[np.maximum(start, 0)], like_first)
-        covered = ~new_c & ~first_like
+        first_like = np.where(start >= 0, new_c[np.maximum(start, 0)], self.like_first)
+        self.before, self.like_first = (h[-1], same[-1], [p[-1] for p in place]), bool(first_like[-1])
+        return h, new_h, new_c, ~new_c & ~first_like
+
+
+def firsts(batches):
+    """From a task's runs in order: the first of each class (kind 1) and those that it covers (kind 0), which need no further look."""
+    seen = Sorted()
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        h, _, new_c, covered = seen.read(batch.columns)
+        keep = np.flatnonzero(covered | new_c)
+        # covered rows are dealt by their place
+        deal = np.where(covered, batch.column(4).to_numpy() * 0x9E3779B1 ^ batch.column(2).fill_null(0).to_numpy(), h)
+        kind = np.where(covered, 0, 1).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(deal[keep]), pa.array(kind[keep]), *(c.take(pa.array(keep)) for c in batch.columns)], names=["deal", "kind", "hash", "same", "doc_id", "th", "lo", "n"])
+
+
+def classes(batches):
+    """From the tasks' rows sorted by (kind, hash, same, place): all that are covered whole (kind 0), and the first of each class where an anchor has several (kind 1).
+
+    Holds one batch, the row before it, and the first row of the anchor at hand.
+    """
+    names = ["kind", "hash", "doc_id", "th", "lo", "n"]
+    seen, pending, sent = Sorted(), None, True
+    for batch in batches:
+        settled_rows = int(np.count_nonzero(batch.column(1).to_numpy() == 0))  # they come first
+        if settled_rows:
+            yield pa.RecordBatch.from_arrays([batch.column(i).slice(0, settled_rows) for i in (1, 2, 4, 5, 6, 7)], names=names)
+        rows = [c.slice(settled_rows) for c in batch.columns[2:]]
+        if not len(rows[0]):
+            continue
+        _, new_h, new_c, covered = seen.read(rows)
         more = new_c & ~new_h  # first of a further class
         group = np.cumsum(new_h)
         several = np.bincount(group, weights=more, minlength=group[-1] + 1) > 0
@@ -110,12 +142,11 @@ def classes(batches):
         kind = np.where(covered, 0, 1)
         keep = np.flatnonzero(covered | rep)
         if len(keep):
-            yield pa.RecordBatch.from_arrays([pa.array(kind[keep].astype(np.int32)), *(batch.column(i).take(pa.array(keep)) for i in (0, 2, 3, 4, 5))], names=["kind", "hash", "doc_id", "th", "lo", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(kind[keep].astype(np.int32)), *(rows[i].take(pa.array(keep)) for i in (0, 2, 3, 4, 5))], names=names)
         if new_h.any():
             at = int(np.flatnonzero(new_h)[-1])
-            pending = pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), *(batch.column(i).slice(at, 1) for i in (0, 2, 3, 4, 5))], names=["kind", "hash", "doc_id", "th", "lo", "n"])
+            pending = pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), *(rows[i].slice(at, 1) for i in (0, 2, 3, 4, 5))], names=names)
             sent = bool(several[group[-1]])
-        before, like_first = (h[-1], same[-1], [p[-1] for p in place]), bool(first_like[-1])
 
 
 def cut(length: int):
@@ -229,7 +260,9 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = keyed(docs)
     found = rows.mapInArrow(runs(length), "hash long, same long, doc_id long, th long, lo long, n int")
-    in_order = found.repartition(parts, "hash").sortWithinPartitions("hash", "same", F.col("doc_id").asc_nulls_last(), "th", "lo")
+    order = ("hash", "same", F.col("doc_id").asc_nulls_last(), "th", "lo")
+    own = found.sortWithinPartitions(*order).mapInArrow(firsts, "deal long, kind int, hash long, same long, doc_id long, th long, lo long, n int")
+    in_order = own.repartition(parts, "deal").sortWithinPartitions("kind", *order)
     marked = settled(in_order.mapInArrow(classes, "kind int, hash long, doc_id long, th long, lo long, n int"), "runs")
     at = (F.shiftleft("lo", LOW) + F.col("n")).alias("at")
     wanted = marked.where("kind = 1").groupBy("doc_id", "th").agg(F.collect_list(F.struct("hash", at)).alias("runs"))
