@@ -30,7 +30,7 @@ from quoin.llm.induced import suffixes
 
 LENGTH = 100
 #: Bytes of documents hashed at once; bytes of runs sorted at once, where an anchor does not need more.
-HASHED, SHARD = 1 << 20, 1 << 21
+HASHED, SHARD = 1 << 19, 1 << 21
 #: A run's first window and number of windows share a long.
 LOW = 16
 
