@@ -100,7 +100,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str = "toxic", limi
     return [(t, y) for _, t, y in sorted(got)]
 
 
-def fit(rows: list[tuple[str, int]], rounds: int = 250, rate: float = 0.15, l2: float = 2e-4) -> Model:
+def fit(rows: list[tuple[str, int]], rounds: int = 250, rate: float = 0.15, l1: float = 2e-5, l2: float = 2e-5) -> Model:
     """Noisy-or maximum likelihood by Adam; features chosen by how unevenly their distinct sentences fall on the labels."""
     if len({y for _, y in rows}) < 2:
         return Model()
@@ -151,7 +151,7 @@ def fit(rows: list[tuple[str, int]], rounds: int = 250, rate: float = 0.15, l2:
         whole = np.clip(-np.expm1(left), 1e-9, 1.0)
         slope = np.where(y[doc] > 0, -(1 - whole[doc]) / whole[doc], 1.0) * p / len(y)
         g = np.empty_like(x)
-        g[:-1] = np.bincount(col, weights=val * slope[row], minlength=len(index)) + l2 * x[:-1] / 10
+        g[:-1] = np.bincount(col, weights=val * slope[row], minlength=len(index)) + l2 * x[:-1] + l1  # weights are never below zero
         g[-1] = slope.sum()
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         x -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
