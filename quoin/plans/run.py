@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from datetime import UTC, datetime
 from pathlib import Path
 
@@ -15,8 +16,8 @@ from quoin.sources.files import write_json
 
 # The states of a run, which of them each stage accepts, the manifest's version, and the limits of a batch.
 STATES = ("initialized", "collected", "translated", "validated", "rendered", "qa_generated", "accepted")
-ACCEPTS = {"collect": ("initialized",), "confirm": ("collected",), "translate": ("collected", "translated"), "validate": ("translated", "validated"), "render": ("validated", "rendered"), "qa": ("rendered", "qa_generated"), "accept": ("qa_generated",)}
-LEADS_TO = {"collect": "collected", "confirm": "collected", "translate": "translated", "validate": "validated", "render": "rendered", "qa": "qa_generated", "accept": "accepted"}
+ACCEPTS = {"collect": ("initialized",), "confirm": ("collected",), "hold": ("collected",), "repair": ("rendered", "qa_generated", "accepted"), "translate": ("collected", "translated"), "validate": ("translated", "validated"), "render": ("validated", "rendered"), "qa": ("rendered", "qa_generated"), "accept": ("qa_generated",)}
+LEADS_TO = {"collect": "collected", "confirm": "collected", "hold": "collected", "repair": "rendered", "translate": "translated", "validate": "validated", "render": "rendered", "qa": "qa_generated", "accept": "accepted"}
 SCHEMA_VERSION = 4
 MAX_SEGMENTS, MAX_CHARACTERS = 200, 30_000
 
@@ -109,10 +110,40 @@ class Run:
         self.save(m, name, ids.select("id").distinct().withColumn("confirmed_by", F.lit(reviewer.strip())))
         self.end(m, "confirm")
 
+    def hold(self, name: str, flagged: DataFrame) -> DataFrame:
+        """name: safety (flagged segments, id) or references (a review, id and automatic). Nothing is translated until a person has confirmed.
+
+        Each flagged segment must be confirmed as passthrough; a review of references needs a confirmed map.
+        """
+        if name not in ("safety", "references"):
+            raise ValueError(f"unknown review: {name}")
+        m = self.begin("hold")
+        if not contract.unknown_ids(flagged.select("id"), self.read(m, "segments")).isEmpty():
+            raise ValueError("unknown ids")
+        out = self.save(m, f"{name}_review", flagged)
+        self.end(m, "hold")
+        return out
+
+    def open_reviews(self, m: dict) -> list[str]:
+        """What a person has still to confirm."""
+        waiting = []
+        if self.read(m, "references_review") is not None and "references" not in m["datasets"]:
+            waiting.append("references are not confirmed")
+        flagged, through = self.read(m, "safety_review"), self.read(m, "passthrough")
+        if flagged is not None:
+            left = flagged.select("id").distinct()
+            left = left if through is None else contract.unknown_ids(left, through)
+            if n := left.count():
+                waiting.append(f"{n} flagged segments are not confirmed as passthrough")
+        return waiting
+
     def translate(self, provider: Provider, glossary: list[dict] | None = None, policy: str = "preserve", max_segments: int = MAX_SEGMENTS, max_characters: int = MAX_CHARACTERS) -> tuple[int, int]:
         """(reused, new). Accepted rows are saved even if others are rejected; then it raises, and a later call resumes."""
         m = self.begin("translate")
+        if waiting := self.open_reviews(m):
+            raise ValueError("; ".join(waiting))
         m["provider"] = provider.provenance()
+        write_json(str(self.path), m)  # on record before the provider is asked
         segs, old = self.read(m, "segments"), self.read(m, "translations")
         refs, through = self.read(m, "references"), self.read(m, "passthrough")
         if old is None:
@@ -166,6 +197,37 @@ class Run:
             raise ValueError(f"{n} errors")
         self.end(m, "qa")
 
+    def repair(self, kind: str, output: DataFrame, verdict: DataFrame) -> None:
+        """Puts repaired output pages in place if verdict (doc_id, violations; from pagediff) finds nothing; checks and acceptance start anew.
+
+        The output before stays on disk, and the history names it.
+        """
+        if kind not in ("vector", "text"):
+            raise ValueError(f"unknown repair: {kind}")
+        m = self.begin("repair")
+        self.read(m, "rendered")
+        bad = verdict.where(F.size("violations") > 0)
+        if n := bad.count():
+            raise ValueError(f"{n} documents are not repaired as agreed: {[(r['doc_id'], r['violations']) for r in bad.orderBy('doc_id').limit(12).collect()]}")
+        replaced = m["datasets"]["rendered"]
+        self.save(m, "rendered", output)
+        m.pop("accepted_by", None)
+        m["history"] = [*m["history"], {"stage": f"{kind}_repair", "at": now(), "replaced": replaced, "by": m["datasets"]["rendered"]}]
+        self.end(m, "repair")
+
+    def to_qa(self, source: DataFrame, provider: Provider, render: Callable[[DataFrame], DataFrame], check: Callable[[DataFrame], DataFrame], glossary: list[dict] | None = None, policy: str = "preserve", max_segments: int = MAX_SEGMENTS, max_characters: int = MAX_CHARACTERS) -> str:
+        """Goes on from the run's state until it is checked; never accepts. render: translations to output pages; check: those to a report (doc_id, n_errors)."""
+        steps = {
+            "initialized": lambda m: self.collect(source),
+            "collected": lambda m: self.translate(provider, glossary, policy, max_segments, max_characters),
+            "translated": lambda m: self.validate(glossary, policy),
+            "validated": lambda m: self.render(render(self.read(m, "translations"))),
+            "rendered": lambda m: self.qa(check(self.read(m, "rendered"))),
+        }
+        while (m := self.load())["status"] in steps:
+            steps[m["status"]](m)
+        return m["status"]
+
     def accept(self, reviewer: str) -> None:
         if not reviewer.strip():
             raise ValueError("a person's name must be given")
