@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -49,11 +47,36 @@ def regions(blocks: DataFrame, lines: DataFrame) -> DataFrame:
     return heads.join(text, "doc_id", "left").join(numbers, "doc_id", "left").select("doc_id", "heading_page", F.coalesce("region", F.lit("")).alias("region"), F.coalesce("numbers", none).alias("numbers"))
 
 
+def _longest(a: str, b: str, alo: int, ahi: int, blo: int, bhi: int) -> tuple[int, int, int]:
+    """The longest common block, the first in a and then in b: as difflib's find_longest_match without junk, by string search."""
+    at, to, size, i = alo, blo, 0, alo
+    while i + size < ahi:
+        j = b.find(a[i : i + size + 1], blo, bhi)
+        while j >= 0:
+            k = size + 1
+            while i + k < ahi and j + k < bhi and a[i + k] == b[j + k]:
+                k += 1
+            at, to, size = i, j, k
+            j = b.find(a[i : i + k + 1], j + 1, bhi) if i + k < ahi else -1
+        i += 1
+    return at, to, size
+
+
 def _matched(candidate: str | None, region: str | None) -> float:
+    """The share that the blocks of difflib.SequenceMatcher(None, candidate, region, autojunk=False) cover."""
     if not candidate or not region:
         return 0.0
-    found = difflib.SequenceMatcher(None, candidate, region, autojunk=False).get_matching_blocks()
-    return sum(b.size for b in found) / len(candidate)
+    found, todo = 0, [(0, len(candidate), 0, len(region))]
+    while todo:
+        alo, ahi, blo, bhi = todo.pop()
+        i, j, k = _longest(candidate, region, alo, ahi, blo, bhi)
+        if k:
+            found += k
+            if alo < i and blo < j:
+                todo.append((alo, i, blo, j))
+            if i + k < ahi and j + k < bhi:
+                todo.append((i + k, ahi, j + k, bhi))
+    return found / len(candidate)
 
 
 def coverage(pairs: DataFrame, candidate: str = "candidate", region: str = "region") -> DataFrame:

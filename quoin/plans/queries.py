@@ -175,7 +175,8 @@ def coverage_fastpath(spark, sf_dir):
 
 
 def coverage_full(spark, sf_dir):
-    p = _coverage_pairs(spark, sf_dir).select("doc_id", F.concat(F.lit("zq"), F.substring("candidate", 1, 300)).alias("candidate"), F.substring("region", 1, 2_000).alias("region"))
+    """Whole texts; the two letters in front send pairs to the aligner that would be contained."""
+    p = _coverage_pairs(spark, sf_dir).withColumn("candidate", F.concat(F.lit("zq"), "candidate"))
     return regions.coverage(p).select("doc_id", "coverage")
 
 
