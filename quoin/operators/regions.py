@@ -93,14 +93,29 @@ def coverage(pairs: DataFrame, candidate: str = "candidate", region: str = "regi
     return done.unionByName(slow).drop("_quick")
 
 
+def coverage_within(rows: DataFrame) -> DataFrame:
+    """rows: doc_id, candidate, region (one a document) and others. They with coverage and region_length, without region: a document's candidates reach the aligner in one row, so its region goes there once."""
+    others = [c for c in rows.columns if c not in ("doc_id", "region")]
+
+    @F.pandas_udf("array<double>")
+    def align(some: pd.Series, region: pd.Series) -> pd.Series:
+        return pd.Series([[1.0 if a and b and a in b else _matched(a, b) for a in x] for x, b in zip(some, region, strict=True)])
+
+    by = rows.groupBy("doc_id").agg(F.first("region").alias("region"), F.collect_list(F.struct(*others)).alias("_rows"))
+    by = by.withColumn("_coverage", align(F.col("_rows")["candidate"], "region")).select("doc_id", F.length("region").alias("region_length"), F.arrays_zip("_rows", "_coverage").alias("_met"))
+    each = by.select("doc_id", "region_length", F.explode("_met").alias("_one"))
+    return each.select("doc_id", *(F.col(f"_one._rows.{c}").alias(c) for c in others), F.col("_one._coverage").alias("coverage"), "region_length")
+
+
 def review(segments: DataFrame, found: DataFrame) -> DataFrame:
     """segments: doc_id, pos, id, source; found: regions. Per segment: automatic, coverage (6 digits), matched (characters that count for the region)."""
-    joined = segments.join(found, "doc_id", "left")
     none = F.array().cast("array<string>")
-    rows = joined.withColumn("candidate", match_text(F.col("source"), F.coalesce("numbers", none))).withColumn("region", match_text(F.coalesce("region", F.lit("")), F.coalesce("numbers", none)))
-    got = coverage(rows)
-    in_region = (F.length("candidate") >= LEAST_CHARACTERS) & (F.col("region") != "") & (F.col("coverage") >= LEAST_COVERAGE)
-    return got.select("doc_id", "pos", "id", "source", (is_heading(F.col("source")) | in_region).alias("automatic"), rounded(F.col("coverage"), 6).alias("coverage"), F.when(in_region, F.rint(F.length("candidate") * F.col("coverage"))).otherwise(F.lit(0.0)).alias("matched"), F.length("region").alias("region_length"))
+    numbers = F.coalesce("numbers", none)
+    known = found.select("doc_id", "numbers", match_text(F.col("region"), numbers).alias("region"))
+    rows = segments.select("doc_id", "pos", "id", "source").join(known, "doc_id", "left")
+    got = coverage_within(rows.select("doc_id", "pos", "id", "source", match_text(F.col("source"), numbers).alias("candidate"), F.coalesce("region", F.lit("")).alias("region")))
+    in_region = (F.length("candidate") >= LEAST_CHARACTERS) & (F.col("region_length") > 0) & (F.col("coverage") >= LEAST_COVERAGE)
+    return got.select("doc_id", "pos", "id", "source", (is_heading(F.col("source")) | in_region).alias("automatic"), rounded(F.col("coverage"), 6).alias("coverage"), F.when(in_region, F.rint(F.length("candidate") * F.col("coverage"))).otherwise(F.lit(0.0)).alias("matched"), "region_length")
 
 
 def covered_share(reviewed: DataFrame) -> DataFrame:

@@ -52,3 +52,21 @@ def test_coverage_full_takes_whole_texts(spark, sf, texts):
     second = {d: ls[1] for d, t in texts.items() if len(ls := t.split("\n")) > 1 and ls[1].strip()}
     assert got == {d: pytest.approx(share("zq" + plain(x), plain(texts[d]))) for d, x in second.items()}
     assert len(plain(second[1])) > 300 and got[1] > 0.99
+
+
+def test_region_review_takes_every_line(spark, tmp_path):
+    rng = random.Random(9)
+    rows = [[prose(rng, 25) for _ in range(24)] for _ in range(4)] + [[prose(rng, 25) for _ in range(3)]]
+    rows[1][11] = rows[1][2]
+    rows[2][7] = "  "
+    spark.createDataFrame([(d, "\n".join(x)) for d, x in enumerate(rows, 1)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["pos"]: (r["automatic"], r["coverage"]) for r in queries.region_review(spark, str(tmp_path)).collect()}
+    want = {}
+    for d, x in enumerate(rows, 1):
+        region, numbers = (plain("".join(x[5:19])), [str(n) for n in range(4, 19)]) if len(x) > 4 else ("", [])
+        for i, line in enumerate(x):
+            if line.strip():
+                at = share(plain(line), region)
+                want[d * 1_000_000 + i + 1] = (len(plain(line)) >= 80 and region != "" and at >= 0.99, pytest.approx(at, abs=1e-6))
+    assert got == want
+    assert got[2_000_003][0] and not got[1_000_003][0]
