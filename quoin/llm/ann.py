@@ -1,7 +1,7 @@
 """Approximate nearest neighbours by cosine: inverted lists with an adaptive dimension scan.
 
 Unit vectors are turned by a random rotation and kept, list by list, in column blocks. A query visits the lists of its
-nearest centroids. In each, squared distances accumulate column block by column block; after d of D columns a hypothesis test
+nearest centroids, and on until they hold k other rows. In each, squared distances accumulate column block by column block; after d of D columns a hypothesis test
 asks whether the whole distance can still be below the k-th best so far: the part so far, times D/d, is expected to
 be the whole, within a factor (1 + EPS/sqrt(d))^2 by the rotation; candidates beyond are abandoned, and the others compacted.
 What survives all columns is scored in double precision on the original vectors.
@@ -92,6 +92,8 @@ def scan(q: np.ndarray, c: np.ndarray, k: int, eps: float = EPS, step: int = STE
                 limit = min(limit, np.partition(part, k - 1)[k - 1])
             allowed = limit + 1e-5
         keep = part <= allowed
+        if np.count_nonzero(keep) < k:  # never fewer than were asked for
+            keep = part <= np.partition(part, k - 1)[k - 1]
         live = np.flatnonzero(keep) if live is None else live[keep]
         part = part[keep]
     return live
@@ -151,7 +153,9 @@ def search_one(rows: DataFrame, dims: int, index: Index, k: int, every: int) ->
     rotation, centroids, probes = index.rotation, index.centroids, index.probes
     query = F.pmod("vec_id", F.lit(every)) == 0
 
-    def lists(n: int):
+    def lists(held: np.ndarray | None = None):
+        """The nearest list of each row; with rows held by each list, all that a query (with own: rows of its id) has to visit."""
+
         def run(batches):
             for batch in batches:
                 ids, col = batch.column(0), batch.column(1)
@@ -159,14 +163,24 @@ def search_one(rows: DataFrame, dims: int, index: Index, k: int, every: int) ->
                     some = col.slice(at, 8192)
                     m = some.flatten().to_numpy(zero_copy_only=False).reshape(len(some), dims)
                     near = (unit(m) @ rotation) @ centroids.T
-                    top = np.argsort(-near, axis=1, kind="stable")[:, :n].astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([ids.slice(at, 8192), some, pa.array(top.tolist(), pa.list_(pa.int32()))], names=["vec_id", "v", "lists"])
+                    order = np.argsort(-near, axis=1, kind="stable").astype(np.int32)
+                    if held is None:
+                        n = np.ones(len(some), dtype=np.int64)
+                    else:
+                        own = batch.column(2).slice(at, 8192).to_numpy(zero_copy_only=False)
+                        n = np.maximum(probes, (np.cumsum(held[order], axis=1) < (k + own)[:, None]).sum(axis=1) + 1)
+                    yield pa.RecordBatch.from_arrays([ids.slice(at, 8192), some, pa.array([o[:x].tolist() for o, x in zip(order, n, strict=True)], pa.list_(pa.int32()))], names=["vec_id", "v", "lists"])
 
         return run
 
     ddl = "vec_id long, v array<double>, lists array<int>"
-    placed = settled(rows.select("vec_id", "v").mapInArrow(lists(1), ddl).select("vec_id", "v", F.col("lists")[0].alias("list")), "placed")
-    asked = settled(rows.where(query).select("vec_id", "v").mapInArrow(lists(probes), ddl).select("vec_id", "v", F.explode("lists").alias("list")), "asked")
+    placed = settled(rows.select("vec_id", "v").mapInArrow(lists(), ddl).select("vec_id", "v", F.col("lists")[0].alias("list")), "placed")
+    held = np.zeros(len(centroids), dtype=np.int64)
+    for r in placed.groupBy("list").agg(F.count("*").alias("n")).collect():  # at most LISTS rows
+        held[r["list"]] = r["n"]
+    asking = rows.where(query).select("vec_id", "v")
+    asking = asking.join(asking.groupBy("vec_id").agg(F.count("*").alias("own")), "vec_id").select("vec_id", "v", "own")
+    asked = settled(asking.mapInArrow(lists(held), ddl).select("vec_id", "v", F.explode("lists").alias("list")), "asked")
     per = rows_per_block(dims) // 4
     sizes = placed.groupBy("list").agg(F.ceil(F.count("*") / per).alias("c_blocks")).join(asked.groupBy("list").agg(F.ceil(F.count("*") / per).alias("q_blocks")), "list")  # at most LISTS rows
     sizes = F.broadcast(sizes)
