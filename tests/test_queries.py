@@ -1,6 +1,7 @@
 """Registered queries on small tables: whole texts, all rows."""
 
 import difflib
+import hashlib
 import random
 import re
 
@@ -70,3 +71,18 @@ def test_region_review_takes_every_line(spark, tmp_path):
                 want[d * 1_000_000 + i + 1] = (len(plain(line)) >= 80 and region != "" and at >= 0.99, pytest.approx(at, abs=1e-6))
     assert got == want
     assert got[2_000_003][0] and not got[1_000_003][0]
+
+
+def digits(texts):
+    """The first hex digit of each segment's id."""
+    return [hashlib.sha256(x.encode()).hexdigest()[0] for x in {x.strip() for t in texts for x in t.split("\n") if x.strip()}]
+
+
+def test_eval_report_all_judges_every_pair(spark, tmp_path):
+    rng = random.Random(10)
+    docs = ["\n".join(prose(rng, 8) for _ in range(30)) for _ in range(5)]
+    spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    h = digits(docs)
+    assert set(h) == set("0123456789abcdef")
+    passed, exact = sum(x in "89ab" for x in h), sum(x in "0123" for x in h)  # by the rules of pairs
+    assert tuple(queries.eval_report_all(spark, str(tmp_path)).first()) == (len(h), passed, len(h) - passed, exact)
