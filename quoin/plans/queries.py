@@ -165,19 +165,24 @@ def split_word_scan(spark, sf_dir):
 
 
 def _coverage_pairs(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    a = lines(spark, sf_dir).where("line_no = 2").select("doc_id", "source")
-    return a.join(d.select("doc_id", "text"), "doc_id").select("doc_id", match_text(F.col("source")).alias("candidate"), match_text(F.col("text")).alias("region"))
+    """Every non-blank line with its document, whose text is normalised once."""
+    d = table(spark, sf_dir, "documents").select("doc_id", match_text(F.col("text")).alias("region"))
+    return lines(spark, sf_dir).select("doc_id", "pos", "line_no", match_text(F.col("source")).alias("candidate")).join(d, "doc_id")
 
 
 def coverage_fastpath(spark, sf_dir):
-    return regions.coverage(_coverage_pairs(spark, sf_dir)).select("doc_id", F.length("candidate").alias("n"), F.length("region").alias("m"), "coverage")
+    """The lines that the SQL names, the second of each document; coverage_fastpath_all has every line."""
+    return regions.coverage(_coverage_pairs(spark, sf_dir).where("line_no = 2")).select("doc_id", F.length("candidate").alias("n"), F.length("region").alias("m"), "coverage")
+
+
+def coverage_fastpath_all(spark, sf_dir):
+    return regions.coverage(_coverage_pairs(spark, sf_dir)).select("doc_id", "pos", F.length("candidate").alias("n"), F.length("region").alias("m"), "coverage")
 
 
 def coverage_full(spark, sf_dir):
-    """Whole texts; the two letters in front send pairs to the aligner that would be contained."""
-    p = _coverage_pairs(spark, sf_dir).withColumn("candidate", F.concat(F.lit("zq"), "candidate"))
-    return regions.coverage(p).select("doc_id", "coverage")
+    """Whole texts, every line; the two letters in front send pairs to the aligner that would be contained."""
+    p = _coverage_pairs(spark, sf_dir).select("doc_id", "pos", F.concat(F.lit("zq"), "candidate").alias("candidate"), "region")
+    return regions.coverage_within(p).select("doc_id", "pos", "coverage")
 
 
 def blocks(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
@@ -257,7 +262,7 @@ def eval_report_all(spark, sf_dir):
     return contract.evaluate(_cases(spark, sf_dir))
 
 
-REGISTERED = (seg_collect, seg_dup_count, tok_number, tok_abbreviation, tok_unit, tok_formula_style, tok_url, token_counts, contract_errors, contract_summary, contract_summary_all, multiset_missing, glossary_violations, id_closure, validate_rows, lookup_targets, batches, resume_pending, passthrough_confirm, split_word_scan, coverage_fastpath, coverage_full, region_slice, region_review, page_pair_diff, missing_drawings, vector_repair, outside_words, missing_glyphs, eval_report, eval_report_all)
+REGISTERED = (seg_collect, seg_dup_count, tok_number, tok_abbreviation, tok_unit, tok_formula_style, tok_url, token_counts, contract_errors, contract_summary, contract_summary_all, multiset_missing, glossary_violations, id_closure, validate_rows, lookup_targets, batches, resume_pending, passthrough_confirm, split_word_scan, coverage_fastpath, coverage_fastpath_all, coverage_full, region_slice, region_review, page_pair_diff, missing_drawings, vector_repair, outside_words, missing_glyphs, eval_report, eval_report_all)
 
 
 def queries() -> dict:

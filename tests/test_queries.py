@@ -48,11 +48,21 @@ def test_matching_blocks_as_difflib():
     assert regions._matched(a, b) == share(a, b)
 
 
+def every_line(texts):
+    return {d * 1_000_000 + i: (x, t) for d, t in texts.items() for i, x in enumerate(t.split("\n"), 1) if x.strip()}
+
+
 def test_coverage_full_takes_whole_texts(spark, sf, texts):
-    got = {r["doc_id"]: r["coverage"] for r in queries.coverage_full(spark, sf).collect()}
-    second = {d: ls[1] for d, t in texts.items() if len(ls := t.split("\n")) > 1 and ls[1].strip()}
-    assert got == {d: pytest.approx(share("zq" + plain(x), plain(texts[d]))) for d, x in second.items()}
-    assert len(plain(second[1])) > 300 and got[1] > 0.99
+    got = {r["pos"]: r["coverage"] for r in queries.coverage_full(spark, sf).collect()}
+    want = {p: pytest.approx(share("zq" + plain(x), plain(t))) for p, (x, t) in every_line(texts).items()}
+    assert got == want
+    assert len(plain(texts[1].split("\n")[1])) > 300 and got[1_000_002] > 0.99
+
+
+def test_coverage_fastpath_all_takes_every_line(spark, sf, texts):
+    got = {(r["pos"], r["n"], r["m"], r["coverage"]) for r in queries.coverage_fastpath_all(spark, sf).collect()}
+    assert got == {(p, len(plain(x)), len(plain(t)), 1.0) for p, (x, t) in every_line(texts).items()}
+    assert {p for p, *_ in got} >= {3_000_001, 4_000_001, 1_000_004}  # no second line, a blank one, the fourth
 
 
 def test_region_review_takes_every_line(spark, tmp_path):
