@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quoin.functions import tokens as T
-from quoin.functions.text import match_text, segment_id
+from quoin.functions.text import match_text, segment_id, strip
 from quoin.operators import contract, pagediff, regions, safety, segments
 
 GLOSSARY = [{"source": "the", "target": "DER", "required": True, "note": ""}, {"source": "Tion", "target": "que", "required": True, "note": ""}, {"source": "is", "target": "absent", "required": False, "note": ""}]
@@ -164,6 +164,14 @@ def split_word_scan(spark, sf_dir):
     return got.select("doc_id", "kind", "visible", F.size("splits").alias("splits"), *(F.get("splits", F.lit(0))[c].alias(c) for c in ("prefix", "suffix", "context")))
 
 
+def split_word_scan_all(spark, sf_dir):
+    """Every line, without outer white space, of every document, where its letters go on in the document's text: one row a split."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("page"), "text")
+    segs = lines(spark, sf_dir).select("doc_id", strip(F.col("source")).alias("source")).distinct().select("doc_id", segment_id(F.col("source")).alias("id"), "source")
+    got = safety.review(segs, d)
+    return got.select("doc_id", "id", "kind", "visible", F.explode_outer("splits").alias("s")).select("doc_id", "id", "kind", "visible", *(F.col(f"s.{c}").alias(c) for c in ("i", "prefix", "suffix", "context")))
+
+
 def _coverage_pairs(spark, sf_dir):
     """Every non-blank line with its document, whose text is normalised once."""
     d = table(spark, sf_dir, "documents").select("doc_id", match_text(F.col("text")).alias("region"))
@@ -262,7 +270,7 @@ def eval_report_all(spark, sf_dir):
     return contract.evaluate(_cases(spark, sf_dir))
 
 
-REGISTERED = (seg_collect, seg_dup_count, tok_number, tok_abbreviation, tok_unit, tok_formula_style, tok_url, token_counts, contract_errors, contract_summary, contract_summary_all, multiset_missing, glossary_violations, id_closure, validate_rows, lookup_targets, batches, resume_pending, passthrough_confirm, split_word_scan, coverage_fastpath, coverage_fastpath_all, coverage_full, region_slice, region_review, page_pair_diff, missing_drawings, vector_repair, outside_words, missing_glyphs, eval_report, eval_report_all)
+REGISTERED = (seg_collect, seg_dup_count, tok_number, tok_abbreviation, tok_unit, tok_formula_style, tok_url, token_counts, contract_errors, contract_summary, contract_summary_all, multiset_missing, glossary_violations, id_closure, validate_rows, lookup_targets, batches, resume_pending, passthrough_confirm, split_word_scan, split_word_scan_all, coverage_fastpath, coverage_fastpath_all, coverage_full, region_slice, region_review, page_pair_diff, missing_drawings, vector_repair, outside_words, missing_glyphs, eval_report, eval_report_all)
 
 
 def queries() -> dict:

@@ -96,3 +96,20 @@ def test_eval_report_all_judges_every_pair(spark, tmp_path):
     assert set(h) == set("0123456789abcdef")
     passed, exact = sum(x in "89ab" for x in h), sum(x in "0123" for x in h)  # by the rules of pairs
     assert tuple(queries.eval_report_all(spark, str(tmp_path)).first()) == (len(h), passed, len(h) - passed, exact)
+
+
+def test_split_word_scan_all_takes_every_line(spark, tmp_path):
+    docs = {1: "a cat\ncatalogue of cats\n cat \nconcat", 2: "short\nshorts", 3: "at\nand", 4: "whole lines only here"}
+    spark.createDataFrame(list(docs.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = set()
+    for d, t in docs.items():
+        flat = " ".join(t.split())
+        for line in {x.strip() for x in t.split("\n")}:
+            for m in re.finditer(f"(?={re.escape(line)})", flat):
+                before = re.search(r"[A-Za-z]*$", flat[: m.start()])[0]
+                after = re.match("[A-Za-z]*", flat[m.start() + len(line) :])[0]
+                if before or after:
+                    want.add((d, m.start() + 1, before, after))
+    got = queries.split_word_scan_all(spark, str(tmp_path)).collect()
+    assert {(r["doc_id"], r["i"], r["prefix"], r["suffix"]) for r in got} == want and len(got) == len(want)
+    assert {r["doc_id"] for r in got} == {1, 2} and len(want) == 4
