@@ -88,6 +88,11 @@ def contract_errors(spark, sf_dir):
     return e.select("id", F.array_join(shown, ",").alias("errors"))
 
 
+def contract_errors_all(spark, sf_dir):
+    """With lost units, which SQL cannot express."""
+    return pairs(spark, sf_dir).select("id", F.array_join(contract.errors(F.col("source"), F.col("target")), ",").alias("errors"))
+
+
 def contract_summary(spark, sf_dir):
     e = contract_errors(spark, sf_dir).select(F.explode(F.split("errors", ",(?=[a-z_]+(?::|,|$))")).alias("e"))
     return e.groupBy(F.when(F.col("e") == "", "clean").otherwise(F.regexp_extract("e", "^[a-z_]+", 0)).alias("code")).agg(F.count("*").alias("n"))
@@ -270,7 +275,7 @@ def eval_report_all(spark, sf_dir):
     return contract.evaluate(_cases(spark, sf_dir))
 
 
-REGISTERED = (seg_collect, seg_dup_count, tok_number, tok_abbreviation, tok_unit, tok_formula_style, tok_url, token_counts, contract_errors, contract_summary, contract_summary_all, multiset_missing, glossary_violations, id_closure, validate_rows, lookup_targets, batches, resume_pending, passthrough_confirm, split_word_scan, split_word_scan_all, coverage_fastpath, coverage_fastpath_all, coverage_full, region_slice, region_review, page_pair_diff, missing_drawings, vector_repair, outside_words, missing_glyphs, eval_report, eval_report_all)
+REGISTERED = (seg_collect, seg_dup_count, tok_number, tok_abbreviation, tok_unit, tok_formula_style, tok_url, token_counts, contract_errors, contract_errors_all, contract_summary, contract_summary_all, multiset_missing, glossary_violations, id_closure, validate_rows, lookup_targets, batches, resume_pending, passthrough_confirm, split_word_scan, split_word_scan_all, coverage_fastpath, coverage_fastpath_all, coverage_full, region_slice, region_review, page_pair_diff, missing_drawings, vector_repair, outside_words, missing_glyphs, eval_report, eval_report_all)
 
 
 def queries() -> dict:

@@ -98,6 +98,18 @@ def test_eval_report_all_judges_every_pair(spark, tmp_path):
     assert tuple(queries.eval_report_all(spark, str(tmp_path)).first()) == (len(h), passed, len(h) - passed, exact)
 
 
+def test_contract_errors_all_keeps_lost_units(spark, tmp_path):
+    rng = random.Random(11)
+    docs = ["\n".join(prose(rng, 8) + " 5 W m-2" for _ in range(30)) for _ in range(3)]
+    spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r["id"]: r["errors"] for r in queries.contract_errors_all(spark, str(tmp_path)).collect()}
+    lost = {i for i, e in rows.items() if "unit_missing:" in e}
+    assert sorted(x[0] for x in rows) == sorted(digits(docs))
+    assert lost == {i for i in rows if i[0] in "456"}  # their targets lose the digit of m-2
+    cut = {r["id"]: r["errors"] for r in queries.contract_errors(spark, str(tmp_path)).collect()}
+    assert {i for i in rows if rows[i] != cut[i]} == lost
+
+
 def test_split_word_scan_all_takes_every_line(spark, tmp_path):
     docs = {1: "a cat\ncatalogue of cats\n cat \nconcat", 2: "short\nshorts", 3: "at\nand", 4: "whole lines only here"}
     spark.createDataFrame(list(docs.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
