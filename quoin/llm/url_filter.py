@@ -6,7 +6,8 @@ the moment estimate of how much the groups of that level differ from their paren
 the lower bound of its posterior rate is above `cut`. Fixed rules come first: the longest that fits decides.
 
 Null url, or no "://": host and path are empty; nothing is known of such a host, so the overall prior
-judges it. Hosts without labelled pages get their domain's rate. Without any outcome every page is allowed. Repeated rows give
+judges it. Hosts without labelled pages get their domain's rate. For domain and suffix a port does not count, SUFFIXES are
+suffixes of two labels, and a numeric host is its own domain. Without any outcome every page is allowed. Repeated rows give
 repeated results. Names of other columns do not matter.
 """
 
@@ -20,6 +21,14 @@ RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com
 Z, CUT = 1.645, 0.5
 #: Strength of a prior, in pages.
 WEAKEST, STRONGEST = 1.0, 1000.0
+#: Common suffixes of two labels, and what stands for the suffix of numeric hosts.
+SUFFIXES = tuple(f"{second}.{top}" for top, seconds in {
+    "uk": "co org ac gov ltd plc me net sch nhs", "au": "com net org edu gov id", "nz": "co net org ac govt school", "za": "co org net ac gov", "jp": "co ne or ac go ad ed gr lg", "kr": "co or ne ac go re",
+    "in": "co net org ac gov edu res firm gen ind", "br": "com net org gov edu", "cn": "com net org gov edu ac", "tw": "com net org gov edu idv", "hk": "com net org gov edu idv", "sg": "com net org gov edu", "my": "com net org gov edu",
+    "id": "co or ac go web sch", "th": "co or ac go in", "tr": "com net org gov edu", "il": "co org net ac gov", "mx": "com net org gob edu", "ar": "com net org gob edu", "co": "com net org gov edu", "pe": "com net org gob edu",
+    "ua": "com net org gov edu", "pl": "com net org gov edu", "ph": "com net org gov edu", "vn": "com net org gov edu", "eg": "com net org gov edu", "sa": "com net org gov edu", "pk": "com net org gov edu", "ng": "com net org gov edu", "ke": "co or ne ac go",
+}.items() for second in seconds.split())
+NUMERIC = "[]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -44,12 +53,24 @@ def rule(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
+def bare(host: Column) -> Column:
+    """Without a port."""
+    return F.regexp_replace(host, r":[0-9]*\z", "")
+
+
+def numeric(host: Column) -> Column:
+    return bare(host).rlike(r"\A(?:[0-9]{1,3}(?:\.[0-9]{1,3}){3}|\[.*\])\z")
+
+
 def suffix(host: Column) -> Column:
-    return F.substring_index(host, ".", -1)
+    two = F.substring_index(bare(host), ".", -2)
+    return F.when(numeric(host), F.lit(NUMERIC)).when(two.isin(*SUFFIXES), two).otherwise(F.substring_index(bare(host), ".", -1))
 
 
 def domain(host: Column) -> Column:
-    return F.substring_index(host, ".", -2)
+    """The registered domain; of a numeric host, itself."""
+    two = F.substring_index(bare(host), ".", -2)
+    return F.when(numeric(host), bare(host)).when(two.isin(*SUFFIXES), F.substring_index(bare(host), ".", -3)).otherwise(two)
 
 
 def strength(groups: DataFrame, parent: Column) -> DataFrame:
