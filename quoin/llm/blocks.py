@@ -2,36 +2,41 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quoin.llm.common import column
+
 #: Numbers in a block: rows times dimensions.
 BLOCK_NUMBERS = 1 << 20
 
 
 def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
-    """(key, v): rows whose vector is not null or empty and has only finite components, as double; equal rows once."""
-    v = F.col(vector)
-    good = F.col(key).isNotNull() & v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return vectors.where(F.coalesce(good, F.lit(False))).select(F.col(key).cast("long").alias(key), v.cast("array<double>").alias("v")).distinct()
+    """(key, v): rows whose vector is not null or empty and has only finite components, as double. A repeated row is there as often."""
+    v = column(vector)
+    good = column(key).isNotNull() & v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return vectors.where(F.coalesce(good, F.lit(False))).select(column(key).cast("long").alias(key), v.cast("array<double>").alias("v"))
 
 
 def rows_per_block(dims: int) -> int:
     return max(64, BLOCK_NUMBERS // max(1, dims))
 
 
-def packed(rows: DataFrame, group: list[str], key: str = "vec_id") -> DataFrame:
-    """One row a group: group, dims, ids (int64 bytes) and data (float64 bytes, one dimension after another). Groups must be bounded."""
+def packed(rows: DataFrame, group: list[str], key: str = "vec_id", more: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """One row a group: group, dims, ids (int64 bytes), data (float64 bytes, one dimension after another) and, if `more` is given, what it makes of the rows' matrix (float32 bytes, laid out alike). Groups must be bounded."""
     ints = ", ".join(f"{g} {rows.schema[g].dataType.simpleString()}" for g in group)
 
     def pack(of: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(key, kind="stable")
         data = np.stack(part["v"].to_list()).astype(np.float64)
-        return pd.DataFrame([[*of, data.shape[1], part[key].to_numpy(np.int64).tobytes(), np.ascontiguousarray(data.T).tobytes()]], columns=[*group, "dims", "ids", "data"])
+        made = [] if more is None else [np.ascontiguousarray(more(data).astype(np.float32).T).tobytes()]
+        return pd.DataFrame([[*of, data.shape[1], part[key].to_numpy(np.int64).tobytes(), np.ascontiguousarray(data.T).tobytes(), *made]], columns=[*group, "dims", "ids", "data", *["more"] * len(made)])
 
-    return rows.groupBy(*group).applyInPandas(pack, f"{ints}, dims int, ids binary, data binary")
+    return rows.groupBy(*group).applyInPandas(pack, f"{ints}, dims int, ids binary, data binary{', more binary' * (more is not None)}")
 
 
 def unpacked(dims: int, ids: bytes, data: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -40,14 +45,17 @@ def unpacked(dims: int, ids: bytes, data: bytes) -> tuple[np.ndarray, np.ndarray
     return k, np.frombuffer(data, dtype=np.float64).reshape(dims, len(k))
 
 
-def dealt(key: str, blocks: Column) -> Column:
-    """The block of a row, of so many; rows with the same key and other vectors are spread too."""
-    return F.pmod(F.xxhash64(key, "v"), blocks).cast("int")
+def numbered(rows: DataFrame) -> DataFrame:
+    """rows of a settled table with `n`, a number of each: a repeated row is dealt like any other."""
+    return rows.withColumn("n", F.monotonically_increasing_id())
+
+
+def dealt(blocks: Column) -> Column:
+    """The block of a numbered row, of so many."""
+    return F.pmod(F.xxhash64("n"), blocks).cast("int")
 
 
 def best(rows: DataFrame, k: int, score: Column) -> DataFrame:
     """Of (query_id, vec_id, ...): the k best of each query with rank; ties to the smaller vec_id."""
-    from pyspark.sql import Window
-
     order = Window.partitionBy("query_id").orderBy(score.desc(), "vec_id")
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

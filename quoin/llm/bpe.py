@@ -18,12 +18,10 @@ from functools import lru_cache
 from heapq import heappop, heappush
 
 import numpy as np
-import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from quoin.llm.common import BATCH_BYTES
+from quoin.llm.common import annotated
 
 #: Words and pre-tokens whose ids a worker remembers; beyond that it starts anew. Only speed depends on it.
 MEMO = 400_000
@@ -156,28 +154,18 @@ def codec(path: str, pattern: str) -> Codec:
 
 
 def encode_decode(docs: DataFrame, path: str, pattern: str, text: str = "text", decode: bool = True) -> DataFrame:
-    """docs with _ids (binary: little-endian unsigned 32-bit ids) and _decoded (binary; null unless decode).
+    """docs without text, with _ids (binary: little-endian unsigned 32-bit ids) and _decoded (binary; null unless decode).
 
-    path: a file of base64 tokens and ranks, installed on every worker. Without text, the column is dropped from the result.
+    path: a file of base64 tokens and ranks, installed on every worker.
     """
-    kept = [c for c in docs.columns if c != text]
-    sent = docs.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.col(f"`{text}`").cast("binary"), F.lit(b"")).alias("_bytes"))
 
-    def run(batches):
+    def worker():
         c = codec(path, pattern)
-        for batch in batches:
-            at, raw = 0, batch.column(batch.num_columns - 1)
-            while at < batch.num_rows:
-                ids, back, held, start = [], [], 0, at
-                while at < batch.num_rows and held < BATCH_BYTES:
-                    data = raw[at].as_py()
-                    got = c.encode(data.decode("utf-8", "replace"))
-                    ids.append(got)
-                    back.append(c.decode(got) if decode else None)
-                    held += 2 * len(data)
-                    at += 1
-                part = batch.slice(start, at - start)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(ids, pa.binary()), pa.array(back, pa.binary())], names=[*kept, "_ids", "_decoded"])
-
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
-    return sent.mapInArrow(run, f"{fields}{', ' * bool(kept)}_ids binary, _decoded binary")
+
+        def coded(data: bytes | None) -> tuple:
+            ids = c.encode((data or b"").decode("utf-8", "replace"))
+            return ids, c.decode(ids) if decode else None
+
+        return coded
+
+    return annotated(docs, text, "_ids binary, _decoded binary", worker, keep_text=False)

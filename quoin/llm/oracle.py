@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quoin.llm.mixing import WORD
+from quoin.llm.mixing import BLOCK, GOLDEN, WORD
 from quoin.llm.url_filter import CUT, RULES, STRONGEST, WEAKEST, Z
 
 
@@ -23,7 +23,7 @@ WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x
            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
              AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
 s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
-      FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id),
+      FROM (SELECT DISTINCT * FROM v WHERE vec_id % 20 = 0) q JOIN v c ON c.vec_id <> q.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM r WHERE rank <= 20"""
 
@@ -42,10 +42,21 @@ s6 AS (SELECT source, source_size, CAST(CASE WHEN capped = 1 THEN cap ELSE w * o
 s7 AS (SELECT *, least(3 * source_size, CAST(floor(target + 0.5) AS BIGINT)) AS need FROM s6),
 o AS (SELECT d.*, source_size, target, need,
              coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '')), doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a
-      FROM d JOIN s7 ON d.source IS NOT DISTINCT FROM s7.source)
+      FROM d JOIN s7 ON d.source IS NOT DISTINCT FROM s7.source),
+h AS (SELECT *, row_number() OVER (ORDER BY encode(source) NULLS LAST) AS sid, coalesce(sum(target) OVER (ORDER BY encode(source) NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / sum(target) OVER () AS lo,
+             sum(target) OVER (ORDER BY encode(source) NULLS LAST ROWS UNBOUNDED PRECEDING) / sum(target) OVER () AS up, lead(need) OVER (ORDER BY encode(source) NULLS LAST) IS NULL AS final FROM s7),
+total AS (SELECT CAST(ceil(sum(source_size) / {BLOCK}) AS BIGINT) AS n FROM s7),
+points AS (SELECT i, ((i >> 20) * {(GOLDEN * (1 << 20)) % 1.0!r}::DOUBLE + (i & 1048575) * {GOLDEN!r}::DOUBLE) % 1.0 AS x FROM (SELECT unnest(range((SELECT n FROM total))) AS i)),
+ranked AS (SELECT i AS slot, sid, row_number() OVER (PARTITION BY sid ORDER BY i) - 1 AS k FROM points JOIN h ON x >= lo AND (x < up OR final)),
+lacks AS (SELECT sid, have, least_ AS want, greatest(least_ - have, 0) AS lacks FROM (SELECT h.sid, CAST(ceil(need / {BLOCK}) AS BIGINT) AS least_, (SELECT count(*) FROM ranked r WHERE r.sid = h.sid) AS have FROM h)),
+late AS (SELECT sid, have, lacks, (SELECT n FROM total) + coalesce(sum(lacks) OVER (ORDER BY sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM lacks),
+slots AS (SELECT sid, k, slot FROM ranked UNION ALL SELECT sid, have + i, CAST(base + i AS BIGINT) FROM (SELECT *, unnest(range(lacks)) AS i FROM late)),
+starts AS (SELECT h.source, k, slot FROM slots JOIN h USING (sid))
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
-       CAST(CASE WHEN size = 0 THEN 0 ELSE (need // source_size) * size + greatest(0, least(a + size, need % source_size) - a) END AS BIGINT) AS taken
-FROM o"""
+       CAST(CASE WHEN size = 0 THEN 0 ELSE (need // source_size) * size + greatest(0, least(a + size, need % source_size) - a) END AS BIGINT) AS taken,
+       CASE WHEN size > 0 AND a < need THEN slot END AS first_slot,
+       CAST(CASE WHEN size = 0 THEN 0 ELSE list_sum(list_transform(range(3), lambda p: CASE WHEN p * source_size + a < need THEN (least(p * source_size + a + size, need) - 1) // {BLOCK} - (p * source_size + a) // {BLOCK} + 1 ELSE 0 END)) END AS BIGINT) AS pieces
+FROM o LEFT JOIN starts ON o.source IS NOT DISTINCT FROM starts.source AND starts.k = o.a // {BLOCK}"""
 
 
 def strength_sql(name: str, of: str, parent: str) -> str:

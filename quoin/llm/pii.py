@@ -16,18 +16,20 @@ from __future__ import annotations
 import math
 import random
 import re
+from bisect import bisect_right
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from quoin.llm.common import BATCH_BYTES
+from quoin.llm.common import annotated
 
 KINDS = ("email", "ip", "card", "phone")
-MAX_TOKENS = 9
+#: Tokens and characters of a segment; an address of eight groups can take 39 tokens.
+MAX_TOKENS = 40
 MAX_SPAN = 48
-#: A model's span is kept where its posterior odds against "outside" are at least this.
+#: A model's span is kept where its score, the log odds against leaving its tokens outside with all else equal, is at least this.
 ODDS = math.log(9)
 
 _domain = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -132,25 +134,52 @@ def span_features(text: str, a: int, b: int, kind: str) -> list[str]:
     return out
 
 
-def lattice(text: str, toks: list[tuple[int, int]]) -> list[tuple[int, int, str, list[str]]]:
-    """Candidate segments (first token, token after the last, type, features)."""
-    out = []
+_at = re.compile(r"(?=[ \[(]at|at )")
+
+
+def candidates(text: str, toks: list[tuple[int, int]], taken: tuple[list[int], list[int]] = ((), ())) -> Iterator[tuple[int, int, str]]:
+    """(first token, token after the last, type) of each segment that could be of the type; none crosses a line's end or meets the taken stretches (starts, ends; sorted, apart)."""
+    if not toks:
+        return
+    low, high = toks[0][0], toks[-1][1]
+    part = text[low:high]
+    digits = [0, *accumulate(map(str.isdigit, part))]
+    colons = [0, *accumulate(map(":".__eq__, part))]
+    ats = [0] * (len(part) + 1)
+    for m in _at.finditer(part):
+        ats[m.start() + 1] = 1
+    ats = list(accumulate(ats))
+    starts, ends = taken
     for i, (a, _) in enumerate(toks):
-        if text[a].isspace() or not (text[a].isalnum() or text[a] in "(:"):
+        first = text[a]
+        if not (first.isalnum() or first in "(:"):
+            continue
+        k = bisect_right(ends, a)  # the first taken stretch that ends behind a
+        wall = starts[k] if k < len(starts) else high
+        if wall <= a:
             continue
-        for j in range(i + 1, min(len(toks), i + MAX_TOKENS * 2) + 1):
+        letter = first.isalpha()
+        for j in range(i + 1, min(len(toks), i + MAX_TOKENS) + 1):
             b = toks[j - 1][1]
-            if b - a > MAX_SPAN:
+            if b - a > MAX_SPAN or b > wall or j - i > 1 and toks[j - 1][0] > toks[j - 2][1]:
                 break
             if b - a < 7 or not text[b - 1].isalnum():
                 continue
-            s = text[a:b]
-            has_digits = sum(c.isdigit() for c in s)
-            for kind in KINDS:
-                plausible = (" at" in s or "at " in s or "[at" in s or "(at" in s) if kind == "email" else s.count(":") >= 3 if kind == "ip" else has_digits >= (14 if kind == "card" else 7) and text[a].isalpha() is False
-                if plausible:
-                    out.append((i, j, kind, span_features(text, a, b, kind)))
-    return out
+            x, y = a - low, b - low
+            if ats[y - 2] - ats[x]:
+                yield i, j, "email"
+            if colons[y] - colons[x] >= 3:
+                yield i, j, "ip"
+            if not letter and 7 <= (n := digits[y] - digits[x]) <= 19:
+                if n >= 14:
+                    yield i, j, "card"
+                if n <= 15:
+                    yield i, j, "phone"
+
+
+def lattice(text: str, toks: list[tuple[int, int]]) -> list[tuple[int, int, str, list[str]]]:
+    """Candidate segments with their features."""
+    return [(i, j, kind, span_features(text, toks[i][0], toks[j - 1][1], kind)) for i, j, kind in candidates(text, toks)]
 
 
 def _lse(xs: list[float]) -> float:
@@ -206,8 +235,7 @@ def composed(seed: int = 7, size: int = 260) -> list[tuple[str, list[tuple[int,
     def card() -> str:
         body = rng.choice("3456") + num(14)
         body += next(c for c in "0123456789" if luhn(body + c))
-        sep = rng.choice([".", "/", " . "][:1])
-        return sep.join(body[i : i + 4] for i in range(0, 16, 4))
+        return ".".join(body[i : i + 4] for i in range(0, 16, 4))
 
     made = {
         "email": lambda: f"{word()}{rng.choice([' at ', ' [at] ', ' (at) ', '[at]', '(at)'])}{word()}{rng.choice([' dot ', ' [dot] ', '.', ' (dot) '])}{rng.choice(['com', 'org', 'net', 'de'])}",
@@ -262,13 +290,47 @@ def trained(rounds: int = 60, rate: float = 0.5, l2: float = 0.01) -> dict[str,
     return w
 
 
+def apart(base: list[tuple[int, int, str]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the stretches that sorted spans cover."""
+    starts, ends = [], []
+    for a, b, _ in base:
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
+@lru_cache(maxsize=1)
+def _shaped(weights: tuple[tuple[str, float], ...]) -> frozenset[str]:
+    """Types of which no segment without the type's shape can score above zero, whatever its other features are."""
+    w = dict(weights)
+    best_of = lambda names: max((w.get(n, 0.0) for n in names), default=0.0)
+    out = set()
+    for kind in KINDS:
+        top = w.get(f"{kind}:bias", 0.0) + w.get(f"{kind}:noshape", 0.0) + best_of([f"{kind}:n{i}" for i in range(21)])
+        top += best_of([f"{kind}:nocue", *(f"{kind}:cue{i}" for i in range(1, 5))]) + max(0.0, w.get(f"{kind}:touching", 0.0))
+        top += best_of([f"{kind}:luhn0", f"{kind}:luhn1"]) if kind == "card" else 0.0
+        if top <= 0:
+            out.add(kind)
+    return frozenset(out)
+
+
 def model_spans(text: str, base: list[tuple[int, int, str]], w: dict[str, float]) -> list[tuple[int, int, str]]:
     """What the model adds beside the base spans."""
-    out = []
-    for a, b in regions(text):
+    out, taken = [], apart(base)
+    shapes = {k: _shapes[k].fullmatch for k in _shaped(tuple(w.items()))} if (found_regions := regions(text)) else {}
+    for a, b in found_regions:
         toks = tokenised(text, a, b)
-        found = [(i, j, kind, sum(w.get(f, 0.0) for f in fs)) for i, j, kind, fs in lattice(text, toks)]
-        found = [x for x in found if not any(s < toks[x[1] - 1][1] and toks[x[0]][0] < e for s, e, _ in base)]
+        found = []
+        for i, j, kind in candidates(text, toks, taken):
+            at, to = toks[i][0], toks[j - 1][1]
+            if kind in shapes and not shapes[kind](text, at, to):
+                continue
+            s = sum(w.get(f, 0.0) for f in span_features(text, at, to, kind))
+            if s > 0:  # others never beat leaving their tokens outside
+                found.append((i, j, kind, s))
         for k in best(len(toks), [(i, j, s) for i, j, _, s in found]):
             i, j, kind, s = found[k]
             if s >= ODDS:
@@ -296,34 +358,17 @@ def masked(text: str, found: list[tuple[int, int, str]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def detect(docs: DataFrame, text: str = "text", mask: bool = False) -> DataFrame:
-    """docs with pii_base and pii_spans (kind:start:end, comma-joined) and, if mask, the text masked."""
-    names = docs.columns
-    sent = docs.withColumn("_bytes", F.coalesce(F.col(f"`{text}`").cast("binary"), F.lit(b""))) if mask else docs.select(*[F.col(f"`{c}`") for c in names if c != text], F.coalesce(F.col(f"`{text}`").cast("binary"), F.lit(b"")).alias("_bytes"))
-    kept = sent.columns[:-1]
+def detect(docs: DataFrame, text: str = "text", mask: bool = False, names: tuple[str, str] = ("pii_base", "pii_spans")) -> DataFrame:
+    """docs with pii_base and pii_spans (kind:start:end, comma-joined); columns of these names are replaced. The text stays only if mask, masked."""
     weights = trained()
 
-    def run(batches):
-        for batch in batches:
-            raw, at = batch.column(batch.num_columns - 1), 0
-            while at < batch.num_rows:
-                base, every, texts, held, start = [], [], [], 0, at
-                while at < batch.num_rows and held < BATCH_BYTES:
-                    data = raw[at].as_py()
-                    s = data.decode("utf-8", "replace")
-                    b, e = spans(s, weights)
-                    base.append(listed(b))
-                    every.append(listed(e))
-                    if mask:
-                        texts.append(masked(s, e) if e else s)
-                    held += len(data)
-                    at += 1
-                part = batch.slice(start, at - start)
-                columns = list(part.columns[:-1])
-                if mask:
-                    was = columns[kept.index(text)]
-                    columns[kept.index(text)] = pa.array([t if was[i].is_valid else None for i, t in enumerate(texts)], was.type)
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(base, pa.string()), pa.array(every, pa.string())], names=[*kept, "pii_base", "pii_spans"])
-
-    fields = ", ".join(f"`{c}` {sent.schema[c].dataType.simpleString()}" for c in kept)
-    return sent.mapInArrow(run, f"{fields}{', ' * bool(kept)}pii_base string, pii_spans string")
+    def worker():
+        def found(data: bytes | None) -> tuple:
+            s = (data or b"").decode("utf-8", "replace")
+            base, every = spans(s, weights)
+            got = (listed(base), listed(every))
+            return (None if data is None else masked(s, every) if every else s, *got) if mask else got
+
+        return found
+
+    return annotated(docs, text, f"`{text}` string, " * mask + f"`{names[0]}` string, `{names[1]}` string", worker, keep_text=False)

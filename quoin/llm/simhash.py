@@ -6,8 +6,10 @@ positions whose vector has an odd overlap with v. Any r positions leave some v t
 fingerprints that differ in at most r bits agree under that mask: no pair within the radius is missed.
 
 Distinct fingerprints only are compared, and only a spanning forest of a bucket's links goes out. A bucket with more than
-BUCKET fingerprints is cut into parts by a hash, and each pair of its parts is compared by a task of its own. Alternating
-large-star and small-star steps, each written to the shared folder, join the forests into components.
+BUCKET fingerprints is parted by a second family of masks, and so on: each family covers every pair by itself, so none is
+missed, and five masks together leave at most 10 bits open, so 1,024 fingerprints. (Where a smaller bucket is asked for, what
+is still larger after the fifth is cut by a hash, and its parts meet pair by pair.) Alternating large-star and small-star
+steps, each written to the shared folder, join the forests into components.
 
 Null text counts as empty: fingerprint zero. Rows with equal doc_id are rows of their own; a component's id is its
 smallest doc_id, null only if all its doc_ids are null. Other columns do not matter. An empty table gives no rows.
@@ -24,11 +26,12 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quoin.llm.common import BATCH_BYTES, map_rows, settled
+from quoin.llm.common import annotated, column, dropped, map_rows, row_key, settled, spread_join
 
 RADIUS, WORDS, SEED = 4, 4, 42
-#: Fingerprints compared in one group; a larger bucket is cut into parts.
+#: Fingerprints compared in one group; a larger bucket is parted by the next family of masks.
 BUCKET = 1024
+FAMILIES = 5
 
 
 def fingerprint(text: bytes, words: int = WORDS, seed: int = SEED) -> int:
@@ -51,25 +54,15 @@ def fingerprint(text: bytes, words: int = WORDS, seed: int = SEED) -> int:
 
 def fingerprints(docs: DataFrame, text: str = "text", out: str = "_fp") -> DataFrame:
     """docs without text, with the fingerprint as a signed long."""
-    kept = [c for c in docs.columns if c != text]
-    sent = docs.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.col(f"`{text}`").cast("binary"), F.lit(b"")).alias("_bytes"))
+    return annotated(docs, text, f"`{out}` long", lambda: lambda data: (fingerprint(data or b""),), keep_text=False)
 
-    def run(batches):
-        for batch in batches:
-            raw = batch.column(batch.num_columns - 1)
-            got = pa.array([fingerprint(raw[i].as_py()) for i in range(batch.num_rows)], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], got], names=[*kept, out])
 
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
-    return sent.mapInArrow(run, f"{fields}{', ' * bool(kept)}`{out}` long")
-
-
-@lru_cache(maxsize=4)
-def masks(radius: int) -> tuple[int, ...]:
-    """2^(radius+1)-1 masks of the 64 positions; any `radius` positions are left out by at least one."""
+@lru_cache(maxsize=8)
+def masks(radius: int, family: int = 0) -> tuple[int, ...]:
+    """2^(radius+1)-1 masks of the 64 positions; any `radius` positions are left out by at least one. Families differ in which positions share a vector."""
     span = (1 << (radius + 1)) - 1
     vectors = [1 + i % span for i in range(64)]
-    random.Random(radius).shuffle(vectors)
+    random.Random(radius + 1000 * family).shuffle(vectors)
     return tuple(sum(1 << p for p, m in enumerate(vectors) if (m & v).bit_count() & 1) for v in range(1, span + 1))
 
 
@@ -77,21 +70,12 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def keys(radius: int):
-    """From fingerprints: a row (mask, masked bits, fingerprint) for each mask."""
-    wide = np.array(masks(radius), dtype=np.uint64)
-
-    def run(batches):
-        for batch in batches:
-            fps = batch.column(0).to_numpy(zero_copy_only=False)
-            step = max(1, BATCH_BYTES // (24 * len(wide)))
-            for at in range(0, len(fps), step):
-                some = fps[at : at + step]
-                f = np.tile(some, len(wide))
-                w = np.repeat(wide, len(some))
-                yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array((f.view(np.uint64) & w).view(np.int64)), pa.array(f)], names=["mask", "bits", "fp"])
-
-    return run
+def keyed(rows: DataFrame, radius: int, family: int) -> DataFrame:
+    """rows: fp, and key from the family before. A row (key, fp) for each mask: the key names the mask and the masked bits, within the key before."""
+    wide = F.explode(F.array(*(F.lit(signed(m)) for m in masks(radius, family)))).alias("mask")
+    before = [F.col("key")] if family else []
+    each = rows.select("fp", *before, wide)
+    return each.select(F.xxhash64(*before, "mask", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"), "fp")
 
 
 def forest(fps: list[int], radius: int) -> list[tuple[int, int]]:
@@ -113,30 +97,43 @@ def forest(fps: list[int], radius: int) -> list[tuple[int, int]]:
 
 
 def links(nodes: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
-    """nodes: one column fp, distinct. Rows (a, b), a < b: a forest whose trees are, bucket by bucket, the linked groups."""
-    dealt = nodes.select("fp").mapInArrow(keys(radius), "mask long, bits long, fp long")
-    sizes = dealt.groupBy("mask", "bits").agg(F.count("*").alias("n")).where("n > 1")
-    shared = settled(dealt.join(sizes, ["mask", "bits"]), "buckets")
-    groups = shared.where(F.col("n") <= bucket).groupBy("mask", "bits").agg(F.collect_list("fp").alias("fps"))
-    large = shared.where(F.col("n") > bucket).withColumn("parts", F.ceil(F.col("n") / F.lit(bucket)).cast("int")).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
-    paired = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    pairs = paired.groupBy("mask", "bits", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_list("fp").alias("fps"))
-    every = groups.select("fps").unionByName(pairs.select("fps"))
-    return map_rows(every, lambda row: iter(forest(row[0], radius)), "a long, b long", pa.schema([("a", pa.int64()), ("b", pa.int64())])).distinct()
+    """nodes: one column fp, distinct. Rows (a, b), a < b: a forest whose trees are, bucket by bucket, the linked groups. Where two keys fall together by chance, more is compared, not less."""
+    rows, every, used = nodes.select("fp"), None, []
+    for family in range(FAMILIES):
+        dealt = keyed(rows, radius, family)
+        sizes = dealt.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+        shared = settled(dealt.join(sizes, "key"), "buckets")
+        used.append(shared)
+        groups = shared.where(F.col("n") <= bucket).groupBy("key").agg(F.collect_list("fp").alias("fps")).select("fps")
+        every = groups if every is None else every.unionByName(groups)
+        rows = shared.where(F.col("n") > bucket).select("key", "fp", "n")
+        if rows.isEmpty():
+            break
+    else:
+        large = rows.withColumn("parts", F.ceil(F.col("n") / F.lit(bucket)).cast("int")).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+        paired = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        pairs = paired.groupBy("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_list("fp").alias("fps"))
+        every = every.unionByName(pairs.select("fps"))
+    out = settled(map_rows(every, lambda row: iter(forest(row[0], radius)), "a long, b long", pa.schema([("a", pa.int64()), ("b", pa.int64())])).distinct(), "links")
+    for table in used:
+        dropped(table)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the smallest node reachable, for every node that has an edge (a, b) to another."""
+    """(node, root): the smallest node reachable, for every node that has an edge (a, b) to another. Tables of a round go when the next one is written."""
     now = settled(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "edges")
     state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     while state[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a < b").distinct()
+        large = spread_join(both.where("b > a"), least, ["a"], ["b"], "inner").select(F.col("m").alias("a"), "b").where("a < b").distinct()
         large = settled(large, "large")
         low = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(low, "b").where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b")).unionByName(low.select(F.col("m").alias("a"), "b")).distinct()
-        now = settled(small, "small")
+        old, now = now, settled(small, "small")
+        dropped(large)
+        dropped(old)
         new = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(new) == tuple(state):
             break
@@ -148,16 +145,21 @@ def cluster(docs: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> Data
     """Of each row of docs (doc_id, text): doc_id, _fp, component_id and _root (a fingerprint that names the component)."""
     marked = settled(fingerprints(docs.select("doc_id", "text")), "fingerprints")
     groups = settled(marked.groupBy(F.col("_fp").alias("fp")).agg(F.min("doc_id").alias("least")), "groups")
-    roots = components(links(groups.select("fp"), radius, bucket))
-    whole = groups.join(roots, groups["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = whole.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = settled(whole.join(named, "root").select(F.col("fp").alias("_fp"), "component_id", F.col("root").alias("_root")), "classes")
-    return marked.join(of, "_fp")
+    edges = links(groups.select("fp"), radius, bucket)
+    roots = components(edges)
+    dropped(edges)
+    whole = settled(groups.join(roots, groups["fp"] == roots["node"], "left").select("fp", "least", "root"), "roots")
+    linked = whole.where("root is not null")
+    named = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+    alone = whole.where("root is null").select(F.col("fp").alias("_fp"), F.col("least").alias("component_id"), F.col("fp").alias("_root"))
+    of = settled(alone.unionByName(spread_join(linked, named, ["root"], ["fp"], "inner").select(F.col("fp").alias("_fp"), "component_id", F.col("root").alias("_root"))), "classes")
+    dropped(groups)
+    return spread_join(marked, of, ["_fp"], ["doc_id"], "inner")
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """docs with one row of each component: that with its smallest doc_id; of rows that share it, the smallest text."""
-    names = docs.columns
+    names = [column(c) for c in docs.columns]
     held = cluster(docs, radius)
     best = held.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
     among = lambda ids: F.col("doc_id").eqNullSafe(ids["_id"])
@@ -167,8 +169,8 @@ def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     # rows with the same doc_id, or none, may be of one component or of several
     alone = docs.join(twins, among(twins), "left_anti").join(best, among(best), "left_semi").select(names)
     some = docs.join(twins, among(twins), "left_semi")
-    prints = fingerprints(some.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(names)], F.col("text")))
+    prints = fingerprints(some.select(*[c.alias(f"_{i}") for i, c in enumerate(names)], F.col("text")))
     rows = prints.join(held.select("_fp", "component_id", "_root").distinct(), "_fp")
-    own, text = F.col(f"_{names.index('doc_id')}"), F.col(f"_{names.index('text')}")
-    one = rows.where(own.eqNullSafe(F.col("component_id"))).withColumn("_rn", F.row_number().over(Window.partitionBy("_root").orderBy(text, F.xxhash64(*[F.col(f"_{i}") for i in range(len(names))])))).where("_rn = 1")
-    return alone.unionByName(one.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(names)]))
+    own, text = F.col(f"_{docs.columns.index('doc_id')}"), F.col(f"_{docs.columns.index('text')}")
+    one = rows.where(own.eqNullSafe(F.col("component_id"))).withColumn("_rn", F.row_number().over(Window.partitionBy("_root").orderBy(text, row_key(prints.drop("_fp"))))).where("_rn = 1")
+    return alone.unionByName(one.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns)]))

@@ -1,6 +1,6 @@
 """Toxicity by multiple-instance learning.
 
-A document is a bag of sentences. Each sentence has a logistic score of its words and word beginnings; a
+A document is a bag of sentences. Each sentence has a logistic score of its distinct words and their beginnings; a
 document is toxic unless all its sentences are clean (noisy-or): p = 1 - prod(1 - p_s). Weights are trained
 from the documents' labels alone; afterwards the sentence scores say where the offence stands.
 
@@ -16,11 +16,10 @@ from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quoin.llm.common import BATCH_BYTES
+from quoin.llm.common import annotated
 
 MAX_TRAIN = 5_000
 MAX_TRAIN_CHARS = 200_000
@@ -34,6 +33,12 @@ sentences = re.compile(r"[^.!?\n]+").finditer
 words = re.compile(r"\w+").findall
 
 
+def lowered(text: str) -> str:
+    """Lower case, but for the few capitals that would grow: offsets must stay."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
 def features(word: str) -> list[str]:
     return [word, *(f"{word[:k]}*" for k in PREFIXES if len(word) > k)]
 
@@ -70,11 +75,8 @@ class Scorer(dict):
     def sentences(self, text: str) -> list[tuple[int, int, float]]:
         """Start, end and score of each sentence that has a word with a weight above zero."""
         out, bias = [], self.model.bias
-        low = text.lower()
-        if len(low) != len(text):  # a few capitals grow when lower-cased; offsets must stay
-            low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-        for m in sentences(low):
-            z = bias + sum(map(self.__getitem__, words(m.group())))
+        for m in sentences(lowered(text)):
+            z = bias + sum(map(self.__getitem__, dict.fromkeys(words(m.group()))))
             if z > bias:
                 out.append((m.start(), m.end(), float(1 / (1 + np.exp(-min(max(z, -40.0), 40.0))))))
         return out
@@ -88,7 +90,7 @@ class Scorer(dict):
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = MAX_TRAIN) -> list[tuple[str, int]]:
-    """At most limit (text, label) rows: half of each label, by a hash of doc_id. The ids are bounded, so they are broadcast."""
+    """At most limit (text, label) rows: half of each label, by a hash of doc_id; of rows that share a doc_id, the smallest text. The ids are bounded, so they are broadcast."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).alias("_y"))
     half = limit // 2
     picked = None
@@ -96,7 +98,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str = "toxic", limi
         part = known.where(F.col("_y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(half)
         picked = part if picked is None else picked.unionByName(part)
     found = docs.select("doc_id", "text").where(F.length("text").between(1, MAX_TRAIN_CHARS)).join(F.broadcast(picked), "doc_id")
-    got = [(r["doc_id"], r["text"], int(r["_y"])) for r in found.limit(2 * limit).collect()]
+    got = [(r["doc_id"], r["text"], int(r["_y"])) for r in found.groupBy("doc_id", "_y").agg(F.min("text").alias("text")).collect()]  # at most limit rows
     return [(t, y) for _, t, y in sorted(got)]
 
 
@@ -108,7 +110,7 @@ def fit(rows: list[tuple[str, int]], rounds: int = 250, rate: float = 0.15, l1:
     totals = [0, 0]
     seen: set[int] = set()
     for text, y in sorted(rows, key=lambda r: -r[1]):  # toxic ones first: only what they hold is counted in the others
-        for m in sentences(text.lower()):
+        for m in sentences(lowered(text)):
             s = m.group()
             if (h := hash(s)) not in seen:  # copies must not vote twice
                 seen.add(h)
@@ -130,14 +132,14 @@ def fit(rows: list[tuple[str, int]], rounds: int = 250, rate: float = 0.15, l1:
     at_doc, at_row, at_col, val, n_rows = [], [], [], [], 0
     support.clear()
     for d, (text, _) in enumerate(rows):
-        for m in sentences(text.lower()):
-            hit = Counter(index[f] for w in words(m.group()) for f in features(w) if f in index)
+        for m in sentences(lowered(text)):
+            hit = Counter(index[f] for w in dict.fromkeys(words(m.group())) for f in features(w) if f in index)
             if hit:
                 at_doc.append(d)
                 for i, n in hit.items():
                     at_row.append(n_rows)
                     at_col.append(i)
-                    val.append(min(n, 3))
+                    val.append(n)
                 n_rows += 1
     doc, row, col, val = np.array(at_doc), np.array(at_row), np.array(at_col), np.array(val, dtype=float)
     y = np.array([y for _, y in rows], dtype=float)
@@ -159,27 +161,16 @@ def fit(rows: list[tuple[str, int]], rounds: int = 250, rate: float = 0.15, l1:
     return Model({f: float(w) for f, w in zip(names, x[:-1], strict=True) if w > 0.05}, float(x[-1]))
 
 
-def score(docs: DataFrame, model: Model, at: float = 0.5) -> DataFrame:
-    """docs with toxic_score (double) and toxic_spans (start, end, score of each sentence at or above `at`, in code points)."""
-    names = docs.columns
-    sent = docs.withColumn("_t", F.coalesce(F.col("text").cast("binary"), F.lit(b"")))
-    spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
+def score(docs: DataFrame, model: Model, at: float = 0.5, names: tuple[str, str] = ("toxic_score", "toxic_spans")) -> DataFrame:
+    """docs with toxic_score (double) and toxic_spans (start, end, score of each sentence at or above `at`, in code points); columns of these names are replaced."""
 
-    def run(batches):
+    def worker():
         scorer = model.scorer()
-        for batch in batches:
-            raw, at_row = batch.column(batch.num_columns - 1), 0
-            while at_row < batch.num_rows:
-                totals, found, held, start = [], [], 0, at_row
-                while at_row < batch.num_rows and held < BATCH_BYTES:
-                    data = raw[at_row].as_py()
-                    got = scorer.sentences(data.decode("utf-8", "replace"))
-                    totals.append(scorer.document(got))
-                    found.append([{"start": a, "end": b, "score": p} for a, b, p in got if p >= at])
-                    held += len(data)
-                    at_row += 1
-                part = batch.slice(start, at_row - start)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(totals, pa.float64()), pa.array(found, spans)], names=[*names, "toxic_score", "toxic_spans"])
-
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
-    return sent.mapInArrow(run, f"{fields}, toxic_score double, toxic_spans array<struct<start:int,end:int,score:double>>")
+
+        def judged(data: bytes | None) -> tuple:
+            got = scorer.sentences((data or b"").decode("utf-8", "replace"))
+            return scorer.document(got), [{"start": a, "end": b, "score": p} for a, b, p in got if p >= at]
+
+        return judged
+
+    return annotated(docs, "text", f"`{names[0]}` double, `{names[1]}` array<struct<start:int,end:int,score:double>>", worker)

@@ -3,7 +3,7 @@
 Labelled outcomes of pages (bad or not) are counted by host. The rate of bad pages is shrunk from the whole to the
 suffix, to the registered domain, to the host: at each level a beta prior around the level above, whose strength is
 the moment estimate of how much the groups of that level differ from their parents (beta-binomial). A host is blocked where even
-the lower bound of its posterior rate is above `cut`. Fixed rules come first: the longest that fits decides.
+the lower bound of its posterior rate (the beta posterior's mean less z of its standard deviations) is above `cut`. Fixed rules come first: the longest that fits decides.
 
 Null url, or no "://": host and path are empty; nothing is known of such a host, so the overall prior
 judges it. Hosts without labelled pages get their domain's rate. For domain and suffix a port does not count, SUFFIXES are
@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quoin.llm.common import settled, spread_join
+
 #: (action, rule); a rule is a host and a path prefix.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 Z, CUT = 1.645, 0.5
@@ -87,7 +89,7 @@ def strength(groups: DataFrame, parent: Column) -> DataFrame:
 
 def reputation(hosts: DataFrame, outcomes: DataFrame, z: float = Z) -> DataFrame:
     """hosts: distinct host. outcomes: host, bad (0/1), one row a labelled page. Adds rate, bound (lower posterior bound of the rate of bad pages)."""
-    counts = outcomes.groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").alias("k"))
+    counts = settled(outcomes.groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").alias("k")), "counts")  # read by six plans
     by_domain = counts.groupBy(domain(F.col("host")).alias("domain")).agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     by_suffix = by_domain.groupBy(suffix(F.col("domain")).alias("suffix")).agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     overall = by_suffix.agg(((F.coalesce(F.sum("k"), F.lit(0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0)) + 10)).alias("m0"))
@@ -108,7 +110,7 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, z: float = Z, cut:
     """Of each page (page_id, url): page_id, host, path, rule, verdict, rate, bound. outcomes: host, bad."""
     rows = with_parts(pages.select("page_id", "url"))
     known = reputation(rows.select("host").distinct(), outcomes, z)
-    rows = rows.join(known, "host").withColumn("_r", rule(F.col("host"), F.col("path"), rules))
+    rows = spread_join(rows, known, ["host"], ["page_id", "path"], "inner").withColumn("_r", rule(F.col("host"), F.col("path"), rules))
     verdict = F.coalesce(F.col("_r.action"), F.when(F.col("bound") > cut, F.lit("block")).otherwise(F.lit("allow")))
     return rows.select("page_id", "host", "path", F.col("_r.rule").alias("rule"), verdict.alias("verdict"), "rate", "bound")
 

@@ -72,7 +72,7 @@ def base_spans(text):
 def top_inner(vectors, every, k, scale=64):
     rows = [(i, [int(np.floor(scale * float(x))) for x in v]) for i, v in vectors]
     out = []
-    for i, q in rows:
+    for i, q in {(i, tuple(v)): (i, v) for i, v in rows}.values():  # a repeated row asks once
         if i % every == 0:
             got = sorted((-sum(a * b for a, b in zip(q, c)), j) for j, c in rows if j != i)[:k]
             out += [(i, r, j, -s) for r, (s, j) in enumerate(got, 1)]

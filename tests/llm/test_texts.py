@@ -111,6 +111,23 @@ def test_masks_cover_every_pair_within_the_radius():
         assert any(not x & m for m in masks)
 
 
+def test_families_of_masks():
+    free = np.array([2**64 - 1], dtype=np.uint64)
+    for family in range(simhash.FAMILIES):
+        free = np.unique((free[:, None] & ~np.array(simhash.masks(4, family), dtype=np.uint64)[None, :]).ravel())
+    assert 1 << int(np.bitwise_count(free).max()) <= simhash.BUCKET
+
+
+def test_simhash_of_a_hot_bucket(spark):
+    rng = random.Random(3)
+    base = rng.getrandbits(64)
+    open_bits = rng.sample(range(64), 16)  # 65,536 fingerprints that share 48 bits
+    prints = {base ^ sum(1 << b for b in open_bits if rng.random() < 0.2) for _ in range(20_000)}
+    nodes = spark.createDataFrame([(simhash.signed(x),) for x in sorted(prints)], "fp long")
+    roots = {r["node"]: r["root"] for r in simhash.components(simhash.links(nodes)).collect()}
+    assert len(prints) > 4_000 and len(roots) == len(prints) and len(set(roots.values())) == 1
+
+
 def test_simhash_keeps_one_of_each_group(docs, rows):
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
@@ -257,10 +274,109 @@ def test_mixing_schedule_is_even(spark):
     assert shares == pytest.approx([5 / 8, 2 / 8, 1 / 8], abs=0.03)
 
 
-def test_mixed_documents_are_repeated(docs, rows):
-    out = mixing.mixed_documents(docs)
+def test_the_schedule_decides_where_a_row_stands(docs):
+    got = {str(r["doc_id"]): (r["taken"], r["first_slot"]) for r in mixing.mix(docs, block=7).collect()}
+    other = {str(r["doc_id"]): (r["taken"], r["first_slot"]) for r in mixing.mix(docs, block=7, golden=0.7548776662466927).collect()}
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in other.items()}
+    assert sum(got[k] != other[k] for k in got) > len(got) / 3
+
+
+def test_mixed_documents_follow_the_schedule(spark):
+    docs = spark.createDataFrame([(i, "w " * 50, f"s{i % 3}") for i in range(600)], "doc_id long, text string, source string")
+    order = [r["source"] for r in mixing.mixed_documents(docs, block=50).collect()]  # a document a slot
+    assert len(order) == 600
+    for n in (80, 160, 320, 480):
+        assert [order[:n].count(s) / n for s in ("s0", "s1", "s2")] == pytest.approx([5 / 8, 2 / 8, 1 / 8], abs=0.04)
+
+
+def test_mixed_documents_keep_the_counts_of_twins(spark):
+    rng = random.Random(31)
+    rows = [(i // 2 if i < 120 else None if i < 160 else i, prose(rng, rng.randint(1, 60)) if i % 7 else None, f"s{i // 2 % 4}", {"k": str(i)}, i, i, i, i) for i in range(220)]
+    rows += [rows[5]] * 3 + [rows[180]] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, key map<string,string>, _n int, _id int, slot int, size int")
+    out = mixing.mixed_documents(docs, block=16)
     assert out.columns == docs.columns
-    assert out.count() > 0
+    size = {(r[4]): len((r[1] or "").split()) for r in rows}
+    want, copies = {}, {}
+    key = {r["key"]: r["_n"] for r in docs.select(mixing.row_key(docs).alias("key"), "_n").collect()}
+    for r in mixing.placed(docs, block=16).collect():
+        n = key[r["key"]]
+        want[n] = want.get(n, 0) + (1 if not size[n] else int(r["taken"] / r["size"] + 0.5))
+    got = out.collect()
+    for r in got:
+        copies[r["_n"]] = copies.get(r["_n"], 0) + 1
+        assert (r["doc_id"], r["text"], r["source"], r["key"], r["_id"], r["slot"], r["size"]) == (rows[r["_n"]][0], rows[r["_n"]][1], rows[r["_n"]][2], {"k": str(r["_n"])}, *[r["_n"]] * 3)
+    assert copies == {k: v for k, v in want.items() if v} and len(set(want.values())) > 2
+
+
+CLASHING = "doc_id long, text string, lang string, source string, n_chars long, _t string, _bytes string, t int, c0 int, r0 int, toxic_score string, pii_spans int, _fp string, _ids int, `odd.name` int, key int, slot int"
+
+
+def test_columns_of_any_name_stay(spark):
+    rows = [(i, t, "en", "s", 1, "a", "b", 2, 3, 4, "own", 5, "fp", 6, 7, 8, 9) for i, t in enumerate([None, "", "call (555) 123-4567 now", "words and words", "words and words"])]
+    docs = spark.createDataFrame(rows, CLASHING)
+    by_id = lambda df: sorted((tuple(r) for r in df.collect()), key=str)
+    scored = toxicity.score(docs, toxicity.Model({"words": 3.0}, -4.0))
+    assert scored.columns == [*docs.columns, "toxic_spans"] and by_id(scored.drop("toxic_score", "toxic_spans")) == by_id(docs.drop("toxic_score"))
+    assert {type(r["toxic_score"]) for r in scored.collect()} == {float}
+    masked = pii.detect(docs, mask=True)
+    assert masked.columns == [*docs.columns, "pii_base"] and by_id(masked.drop("pii_base", "pii_spans", "text")) == by_id(docs.drop("pii_spans", "text"))
+    assert {r["text"] for r in masked.collect()} == {None, "", "call <PHONE> now", "words and words"}
+    coded = bpe.encode_decode(docs, PATH, public_tokenizers.PATTERN)
+    assert by_id(coded.drop("_ids", "_decoded")) == by_id(docs.drop("_ids", "text"))
+    assert simhash.keep_one(docs).columns == docs.columns == mixing.mixed_documents(docs).columns
+    assert by_id(simhash.keep_one(docs)) == by_id(docs.where("doc_id in (0, 2, 3)"))  # null and empty texts are linked
+
+
+def test_toxicity_as_a_plain_noisy_or(spark):
+    import math
+    import re as r
+
+    rng = random.Random(17)
+    weights = {w: rng.uniform(0.2, 4) for w in ("bad", "grim", "baddest", "badd*", "grim*", "sunn*")}
+    model = toxicity.Model(weights, -3.0)
+    vocabulary = ["bad", "Bad", "grim", "grimly", "baddest", "sunny", "stone", "é", "2x"]
+    texts = ["".join(rng.choice(vocabulary) + rng.choice([" ", " ", ". ", "!", "\n", "? "]) for _ in range(rng.randint(0, 40))) for _ in range(200)] + [None, "", "...", "bad " * 50, "bad " * 3, "İ bad grim."]
+
+    def plain(text):
+        clean = 1.0
+        for s in r.split(r"[.!?\n]", (text or "").lower()):
+            z, hit = -3.0, False
+            for w in set(r.findall(r"\w+", s)):
+                own = [weights[f] for f in (w, f"{w[:4]}*" * (len(w) > 4), f"{w[:5]}*" * (len(w) > 5), f"{w[:6]}*" * (len(w) > 6)) if f in weights]
+                z, hit = z + sum(own), hit or bool(own)
+            clean *= 1 - (1 / (1 + math.exp(-z)) if hit else 0)
+        return 1 - clean
+
+    rows = [(i, t, t) for i, t in enumerate(texts)] + [(5, texts[5], "again")]
+    got = toxicity.score(spark.createDataFrame(rows, "doc_id long, text string, toxic_spans string"), model).collect()
+    assert len(got) == len(rows)
+    for x in got:
+        assert x["toxic_score"] == pytest.approx(plain(x["text"]), abs=1e-9)
+        for s in x["toxic_spans"]:
+            assert s["score"] >= 0.5 and "\n" not in x["text"][s["start"] : s["end"]]
+    score = {x["text"]: x["toxic_score"] for x in got}
+    assert score["bad " * 50] == score["bad " * 3]
+    assert toxicity.score(spark.createDataFrame([], "doc_id long, text string"), model).count() == 0
+
+
+def test_toxicity_training_rows_repeat(spark):
+    docs = spark.createDataFrame([(i, f"text {i} {j}") for i in range(40) for j in range(3)] + [(None, "x"), (0, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(40)] * 2 + [(None, 1, 1)], "doc_id long, quality int, toxic int")
+    got = toxicity.training_rows(docs, labels, limit=20)
+    assert len(got) == 20 and sum(y for _, y in got) == 10 and all(t.endswith(" 0") for t, _ in got)
+    assert got == toxicity.training_rows(docs.repartition(7), labels, limit=20)
+
+
+def test_pii_in_a_very_long_list(spark):
+    import time
+
+    rng = random.Random(2)
+    num = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    text = "".join(f"call ({num(3)}) {num(3)}-{num(4)} or +{num(2)} {num(3)} {num(7)}\n" for _ in range(5_000))
+    began = time.time()
+    base, every = pii.spans(text, pii.trained())
+    assert len(base) == 5_000 and len(every) == 10_000 and time.time() - began < 20
 
 
 def test_empty_tables(spark):

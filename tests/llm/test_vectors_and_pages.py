@@ -17,7 +17,7 @@ def rows():
     out = [(i, rng.standard_normal(24).astype(np.float32).tolist()) for i in range(700)]
     out += [(1000 + i, out[7][1]) for i in range(150)]  # one vector, many times
     out += [(2000, None), (2001, []), (2002, [NAN] * 24), (2003, [INF] + [0.0] * 23), (2004, [None] + [1.0] * 23), (2005, [0.0] * 24), (None, out[1][1]), (2020, [1.0, 2.0]), (2021, [2.0, 1.0])]
-    return out + [out[3]]
+    return out + [out[3]] * 3 + [out[20]]  # rows that repeat; the last asks
 
 
 @pytest.fixture(scope="module")
@@ -26,11 +26,7 @@ def vectors(spark, rows):
 
 
 def usable(rows, zero=True):
-    seen = {}
-    for i, v in rows:
-        if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and (zero or any(v)):
-            seen[(i, tuple(v))] = (i, v)
-    return list(seen.values())
+    return [(i, v) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and (zero or any(v))]
 
 
 def test_exact_top_k(vectors, rows):
@@ -58,13 +54,14 @@ def test_approximate_neighbours(vectors, rows):
     good = [r for r in usable(rows, zero=False) if len(r[1]) == 24]
     m = np.array([v for _, v in good], dtype=np.float64)
     ids = np.array([i for i, _ in good])
+    assert (ids == 3).sum() == 4
     got = {}
     for r in ann.search(vectors).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
     hit = total = 0
     for q in np.flatnonzero(ids % 50 == 0):
         s = (m * m[q]).sum(1) / np.sqrt((m * m).sum(1)) / np.sqrt((m[q] * m[q]).sum())
-        s[q] = -9
+        s[ids == ids[q]] = -9
         best = [int(ids[j]) for j in np.lexsort((ids, -s))[:5]]
         mine = sorted(got[int(ids[q])])
         assert [r for r, _, _ in mine] == [1, 2, 3, 4, 5]
@@ -115,7 +112,7 @@ def test_archives_round_trip(pages):
 
 
 def test_reading_notices_what_is_wrong(spark):
-    whole = [warc.parsed(r + warc.END)[0] for r in warc.records(5, "http://x/", b"a" * 50_000, None, True)]
+    whole = [next(warc.parsed(r + warc.END)) for r in warc.records(5, "http://x/", b"a" * 50_000, None)]
     parts = [{"number": int(f["warc-segment-number"]), "total": int(f["warc-segment-total-length"]) if "warc-segment-total-length" in f else None, "type": f["warc-type"], "page_id": 5, "url": None, "digest": f.get("warc-payload-digest", "").removeprefix("sha1:") or None, "refers": None, "block": b} for f, b in whole]
     assert len(parts) == 4 and warc.capture("o", parts[::-1])[-2:] == (b"a" * 50_000, True)
     for broken in (parts[:-1], parts[1:], parts[:1] + parts[2:], [*parts[:3], parts[3] | {"total": 9}], [parts[0] | {"digest": "X"}, *parts[1:]]):
@@ -145,3 +142,29 @@ def test_reputation_shrinks(spark):
     got = {r["host"]: r for r in url_filter.reputation(hosts, spark.createDataFrame(rows, "host string, bad long")).collect()}
     assert got["h3.bad.net"]["bound"] > 0.5 and got["new.bad.net"]["bound"] > 0.5 and got["unseen.bad.net"]["rate"] > 0.8
     assert got["one.good.com"]["rate"] < 0.3 and 0.2 < got["x.unknown.org"]["rate"] < 0.8
+
+
+def test_repeated_rows_have_record_ids_of_their_own(spark, tmp_path):
+    rows = [(7, "http://x/", "same " * 9_000)] * 4 + [(None, "http://y/", "none")] * 3 + [(None, None, "none")] + [(8, "http://z/", "same " * 9_000)] * 2 + [(9, "http://x/", "p"), (9, "http://x/2", "p")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    warc.write(pages, str(tmp_path / "w"))
+    found = [f for path in (tmp_path / "w").glob("*.gz") for f, _ in warc.parsed(path.read_bytes())]
+    ids = [f["warc-record-id"] for f in found]
+    assert len(ids) == len(set(ids))
+    heads = [f for f in found if f["warc-type"] != "continuation"]
+    assert len(heads) == len(rows) and {f["warc-refers-to"] for f in heads if f["warc-type"] == "revisit"} <= set(ids)
+    got = warc.round_trip(pages).collect()
+    assert len(got) == len(rows) and all(r["intact"] for r in got)
+    assert sorted(str((r["page_id"], r["record_type"], r["refers_to"])) for r in got) == sorted(str(x) for x in [(7, "response", None)] * 4 + [(8, "revisit", 7)] * 2 + [(None, "response", None)] * 4 + [(9, "response", None)] * 2)
+
+
+def test_archives_of_many_members_and_plain_ones():
+    import gzip
+
+    whole = [r + warc.END for r in warc.records(5, "http://x/", b"\r\n\r\nWARC/1.1" * 3_000, None)]
+    want = [b for _, b in warc.parsed(b"".join(whole))]
+    assert len(want) == 4 and [b for _, b in warc.parsed(b"".join(map(gzip.compress, whole)))] == want
+    with pytest.raises(ValueError):
+        list(warc.parsed(b"".join(whole)[:-10]))
+    with pytest.raises(ValueError):
+        list(warc.parsed(b"junk"))
