@@ -1,8 +1,8 @@
 """From raw documents to token ids: five stages, each over all that the one before it kept.
 
 toxicity drops documents whose noisy-or score is 0.5 or more (null and empty texts stay); near_dedup keeps one document of
-each SimHash component; pii replaces personal data by its type; mixing repeats or leaves out documents so that
-sources meet their target weights; encoding turns texts into ids and back.
+each SimHash component; pii replaces personal data by its type; mixing repeats or leaves out documents, and puts
+them in the order of its schedule, so that sources meet their target weights; encoding turns texts into ids and back.
 """
 
 from __future__ import annotations
@@ -12,12 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quoin.llm import bpe, mixing, pii, queries, simhash, toxicity
-from quoin.llm.common import settled
+from quoin.llm.common import column, dropped, fresh, settled
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = queries.toxicity_model(docs, queries.table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where("toxic_score < 0.5").select(docs.columns)
+    score, spans = fresh(docs, "toxic_score"), fresh(docs, "toxic_spans")
+    return toxicity.score(docs, model, names=(score, spans)).where(F.col(score) < 0.5).select(*map(column, docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,9 +26,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = pii.detect(docs, mask=True)
-    length = F.when(F.col("pii_spans") != "", F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return found.withColumn("n_chars", length).select(docs.columns)
+    base, spans = fresh(docs, "pii_base"), fresh(docs, "pii_spans")
+    found = pii.detect(docs, mask=True, names=(base, spans))
+    length = F.when(F.col(spans) != "", F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return found.withColumn("n_chars", length).select(*map(column, docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,6 +48,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = queries.table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = settled(stage(spark, docs, sf_dir), name)
+    for n, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, settled(stage(spark, docs, sf_dir), name)
+        if n:
+            dropped(before)  # its only reader is done
     return STAGES[-1][1](spark, docs, sf_dir)
