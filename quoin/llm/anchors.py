@@ -42,13 +42,13 @@ def sliding_min(a: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(m[: len(m) - (w - have)], m[w - have :]) if have < w else m
 
 
-def anchors(t: np.ndarray, ends: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def anchors(t: np.ndarray, ends: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """t: documents one after another, shorter than CHUNK together; ends: where each ends.
 
-    (hash, content hash, first window, windows) of each run of windows within one document that share an anchor.
+    (hash, first window, windows) of each run of windows within one document that share an anchor.
     """
     if len(t) < length:
-        return (np.zeros(0, np.int64),) * 4
+        return (np.zeros(0, np.int64),) * 3
     h = gram_hashes(t, k)
     mask = np.uint64(CHUNK - 1)
     tagged = (h & ~mask) | np.arange(len(h), dtype=np.uint64)
@@ -64,14 +64,4 @@ def anchors(t: np.ndarray, ends: np.ndarray, length: int, k: int) -> tuple[np.nd
     count = np.diff(np.append(first, n))
     keep = inside[first]
     first, count = first[keep], count[keep]
-    return h[low[first]].view(np.int64), content_hash(h, first, count, length, k), first, count
-
-
-def content_hash(h: np.ndarray, first: np.ndarray, count: np.ndarray, length: int, k: int) -> np.ndarray:
-    """A hash of all bytes of each run's windows, from k-gram hashes that cover them; a run has at most length - k + 1 windows."""
-    last = first + (count + length - 1 - k)
-    out = count.astype(np.uint64) * _odd[6]
-    for step, at in enumerate([*range(0, 2 * length - k, k), None]):
-        out = (out ^ h[last if at is None else np.minimum(first + at, last)]) * _odd[step % 6]
-        out ^= out >> np.uint64(31)
-    return out.view(np.int64)
+    return h[low[first]].view(np.int64), first, count

@@ -6,10 +6,11 @@ or further left in the same document. Strings do not cross documents and are jud
 1. Every window of `length` bytes has an anchor, the smallest k-gram hash in it; a run of windows with one anchor is a row.
    Each task first sorts its own rows and settles all but the first of each class of equal runs, so however many copies
    there are, a class sends one row a task; these rows are dealt by the anchor's hash, so equal windows meet.
-2. Runs whose bytes are all equal (two 64-bit hashes) are one: only the earliest is sorted, the others are covered whole.
-   Anchors with one such class are done.
-3. The remaining runs' bytes are suffix-sorted, some anchors together in a shard, by external induced sorting with common
-   prefixes (induced.py). Neighbours that share `length` bytes are equal windows; all but the earliest are covered.
+2. Runs of equal bytes, by their anchor's hash and a cryptographic digest of 128 bits, are one string at several places: all but the
+   earliest are covered whole, as each of their windows is its neighbour's. Anchors with one such string are done.
+3. The remaining strings are suffix-sorted, some anchors together in a shard, by external induced sorting with common
+   prefixes (induced.py). Neighbours that share `length` bytes are equal windows; all but the earliest are covered. A shard holds
+   whole anchors; it is as large as its largest needs, and what is beyond MEMORY lies on disk.
 4. What is covered goes back to its document.
 
 Null text is empty; texts shorter than `length` keep all bytes. A null doc_id is larger than any other. Rows that repeat
@@ -19,6 +20,10 @@ the text. Very long texts are hashed in overlapping pieces. Other columns do not
 
 from __future__ import annotations
 
+import tempfile
+from collections.abc import Iterable, Iterator
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,13 +31,16 @@ from pyspark.sql import functions as F
 
 from quoin.llm.anchors import CHUNK, anchors, gram
 from quoin.llm.common import BATCH_BYTES, settled
-from quoin.llm.induced import suffixes
+from quoin.llm.induced import Room, suffixes
 
 LENGTH = 100
 #: Bytes of documents hashed at once; bytes of runs sorted at once, where an anchor does not need more.
 HASHED, SHARD = 1 << 19, 1 << 21
+#: Bytes that the sort of a shard may hold.
+MEMORY = 128 << 20
 #: A run's first window and number of windows share a long.
 LOW = 16
+RUN = ("hash", "same", "more", "doc_id", "th", "at")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -43,16 +51,20 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def runs(length: int):
-    """From documents: a row (hash, same, doc_id, th, lo, n) for each run of windows with one anchor."""
+    """From documents: a row RUN for each run of windows with one anchor; same and more: the digest of its bytes; at: first window and windows."""
     k = gram(length)
 
     def flush(ids, ths, offsets, pieces):
         ends = np.cumsum([len(p) for p in pieces])
-        h, same, first, n = anchors(np.frombuffer(b"".join(pieces), dtype=np.uint8), ends, length, k)
+        whole = b"".join(pieces)
+        h, first, n = anchors(np.frombuffer(whole, dtype=np.uint8), ends, length, k)
         of = np.searchsorted(ends, first, side="right")
         begin = ends - np.array([len(p) for p in pieces])
         lo = first - begin[of] + np.array(offsets)[of]
-        return pa.RecordBatch.from_arrays([pa.array(h), pa.array(same), pa.array(ids, pa.int64()).take(pa.array(of)), pa.array(np.array(ths)[of]), pa.array(lo), pa.array(n.astype(np.int32))], names=["hash", "same", "doc_id", "th", "lo", "n"])
+        view = memoryview(whole)
+        digests = b"".join([blake2b(view[a:b], digest_size=16).digest() for a, b in zip(first.tolist(), (first + n + length - 1).tolist(), strict=True)])
+        same, more = np.frombuffer(digests, dtype="<i8").reshape(-1, 2).T
+        return pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.ascontiguousarray(same)), pa.array(np.ascontiguousarray(more)), pa.array(ids, pa.int64()).take(pa.array(of)), pa.array(np.array(ths)[of]), pa.array(lo << LOW | n)], names=RUN)
 
     def run(batches):
         ids, ths, offsets, pieces, held = [], [], [], [], 0
@@ -78,28 +90,29 @@ def runs(length: int):
 
 
 class Sorted:
-    """What a batch of rows sorted by (hash, same, place) shows, given the row before it. Rows: hash, same, doc_id, th, lo, n."""
+    """What a batch of rows RUN, sorted, shows, given the row before it."""
 
     def __init__(self) -> None:
         self.before, self.like_first = None, False
 
     def read(self, rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """hash; whether a row begins an anchor; a class; is neither its class's first nor at the very place of it."""
-        h, same = rows[0].to_numpy(), rows[1].to_numpy()
-        place = [c.fill_null(2**63 - 1).to_numpy() for c in rows[2:5]]
+        h, *digest = (c.to_numpy() for c in rows[:3])
+        place = [c.fill_null(2**63 - 1).to_numpy() for c in rows[3:6]]
         n = len(h)
         new_h, new_c, moved = (np.ones(n, dtype=bool) for _ in range(3))
         new_h[1:] = h[1:] != h[:-1]
-        new_c[1:] = new_h[1:] | (same[1:] != same[:-1])
-        moved[1:] = new_c[1:] | np.logical_or.reduce([p[1:] != p[:-1] for p in place])
+        new_c[1:] = np.logical_or.reduce([new_h[1:], *(d[1:] != d[:-1] for d in digest)])
+        moved[1:] = np.logical_or.reduce([new_c[1:], *(p[1:] != p[:-1] for p in place)])
         if self.before is not None:
-            new_h[0] = h[0] != self.before[0]
-            new_c[0] = new_h[0] or same[0] != self.before[1]
-            moved[0] = new_c[0] or any(p[0] != b for p, b in zip(place, self.before[2], strict=True))
+            was_h, was_digest, was_place = self.before
+            new_h[0] = h[0] != was_h
+            new_c[0] = new_h[0] or any(d[0] != b for d, b in zip(digest, was_digest, strict=True))
+            moved[0] = new_c[0] or any(p[0] != b for p, b in zip(place, was_place, strict=True))
         # rows at the very place of their class's first are the same document again: not covered
         start = np.maximum.accumulate(np.where(moved, np.arange(n), -1))
         first_like = np.where(start >= 0, new_c[np.maximum(start, 0)], self.like_first)
-        self.before, self.like_first = (h[-1], same[-1], [p[-1] for p in place]), bool(first_like[-1])
+        self.before, self.like_first = (h[-1], [d[-1] for d in digest], [p[-1] for p in place]), bool(first_like[-1])
         return h, new_h, new_c, ~new_c & ~first_like
 
 
@@ -112,9 +125,9 @@ def firsts(batches):
         h, _, new_c, covered = seen.read(batch.columns)
         keep = np.flatnonzero(covered | new_c)
         # covered rows are dealt by their place
-        deal = np.where(covered, batch.column(4).to_numpy() * 0x9E3779B1 ^ batch.column(2).fill_null(0).to_numpy(), h)
+        deal = np.where(covered, batch.column(5).to_numpy() * 0x9E3779B1 ^ batch.column(3).fill_null(0).to_numpy(), h)
         kind = np.where(covered, 0, 1).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(deal[keep]), pa.array(kind[keep]), *(c.take(pa.array(keep)) for c in batch.columns)], names=["deal", "kind", "hash", "same", "doc_id", "th", "lo", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(deal[keep]), pa.array(kind[keep]), *(c.take(pa.array(keep)) for c in batch.columns)], names=["deal", "kind", *RUN])
 
 
 def classes(batches):
@@ -122,12 +135,12 @@ def classes(batches):
 
     Holds one batch, the row before it, and the first row of the anchor at hand.
     """
-    names = ["kind", "hash", "doc_id", "th", "lo", "n"]
+    names = ["kind", "hash", "doc_id", "th", "at"]
     seen, pending, sent = Sorted(), None, True
     for batch in batches:
         settled_rows = int(np.count_nonzero(batch.column(1).to_numpy() == 0))  # they come first
         if settled_rows:
-            yield pa.RecordBatch.from_arrays([batch.column(i).slice(0, settled_rows) for i in (1, 2, 4, 5, 6, 7)], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(i).slice(0, settled_rows) for i in (1, 2, 5, 6, 7)], names=names)
         rows = [c.slice(settled_rows) for c in batch.columns[2:]]
         if not len(rows[0]):
             continue
@@ -142,10 +155,10 @@ def classes(batches):
         kind = np.where(covered, 0, 1)
         keep = np.flatnonzero(covered | rep)
         if len(keep):
-            yield pa.RecordBatch.from_arrays([pa.array(kind[keep].astype(np.int32)), *(rows[i].take(pa.array(keep)) for i in (0, 2, 3, 4, 5))], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(kind[keep].astype(np.int32)), *(rows[i].take(pa.array(keep)) for i in (0, 3, 4, 5))], names=names)
         if new_h.any():
             at = int(np.flatnonzero(new_h)[-1])
-            pending = pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), *(rows[i].slice(at, 1) for i in (0, 2, 3, 4, 5))], names=names)
+            pending = pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), *(rows[i].slice(at, 1) for i in (0, 3, 4, 5))], names=names)
             sent = bool(several[group[-1]])
 
 
@@ -165,54 +178,74 @@ def cut(length: int):
     return run
 
 
-def repeats(strings: list[bytes], length: int) -> np.ndarray:
-    """Places, in the strings laid end to end with a byte between, where a window begins that begins earlier too; strings in order of precedence."""
-    out = []
-    for place, common in suffixes(strings):
-        if len(place) < 2:
-            continue
-        alone = common < length
-        if alone.all():
+def repeats(strings: Iterable[bytes], length: int, room: Room, marked: np.ndarray | None = None) -> np.ndarray:
+    """Marks the places, in the strings laid end to end with a byte behind each, where a window begins that begins earlier too. Neighbours in the order of suffixes that share `length` bytes are one group; its least place stays."""
+    least = -1  # of the group that goes on
+    for places, common in suffixes(strings, depth=length, room=room):
+        if marked is None:
+            marked = room.array(room.size, np.bool_)
+        same = common >= length
+        if not same.any():
+            least = int(places[-1])
             continue
-        group = np.cumsum(alone) - alone[0]
-        edge = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-        least = np.minimum.reduceat(place, edge)
-        later = place[place != least[np.cumsum(np.append(False, group[1:] != group[:-1]))]]
-        out.append(later)
-    return np.sort(np.concatenate(out)) if out else np.zeros(0, np.int64)
-
-
-def shards(length: int):
-    """From runs' bytes sorted by hash: covered stretches of windows. A shard holds whole anchors."""
-
-    def solve(rows):
-        place = lambda r: (r[0] is None, r[0] or 0, r[1], r[2])
-        rows = list({place(r): r for r in sorted(rows, key=place)}.values())  # a repeated document sends the same place twice
-        strings = [r[3] for r in rows]
-        begin = np.cumsum([0, *(len(s) + 1 for s in strings)])
-        found = repeats(strings, length)
-        if not len(found):
-            return None
-        of = np.searchsorted(begin, found, side="right") - 1
-        new = np.append(True, (found[1:] != found[:-1] + 1) | (of[1:] != of[:-1]))
-        at = np.flatnonzero(new)
-        n = np.diff(np.append(at, len(found)))
-        of, lo = of[at], found[at] - begin[of[at]]
-        return pa.RecordBatch.from_arrays([pa.array([rows[i][0] for i in of], pa.int64()), pa.array([rows[i][1] for i in of], pa.int64()), pa.array([rows[i][2] + int(a) for i, a in zip(of, lo, strict=True)], pa.int64()), pa.array(n.astype(np.int32))], names=["doc_id", "th", "lo", "n"])
+        edge = np.flatnonzero(~same) if not same[0] else np.append(0, np.flatnonzero(~same))
+        lows = np.minimum.reduceat(places, edge)
+        if same[0] and least >= 0:
+            if least > lows[0]:
+                marked[least] = True
+            lows[0] = min(least, lows[0])
+        group = np.cumsum(~same) - (0 if same[0] else 1)
+        marked[places[places != lows[group]]] = True
+        least = int(lows[-1])
+    return marked if marked is not None else np.zeros(0, dtype=bool)
 
-    def run(batches):
-        rows, held, last = [], 0, None
+
+PLACE = np.dtype([("doc", "<i8"), ("th", "<i8"), ("lo", "<i8"), ("none", "?")])
+
+
+def shards(length: int, shard: int = SHARD, memory: int = MEMORY):
+    """From strings sorted by hash and place: covered stretches of windows. A shard holds whole anchors; its strings go straight to the sort's room, their places to a file beyond an eighth of `memory`."""
+
+    def rows_of(batches) -> Iterator[tuple]:
         for batch in batches:
-            for h, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if h != last and held >= SHARD:
-                    if (made := solve(rows)) is not None:
-                        yield made
-                    rows, held = [], 0
-                rows.append(row)
-                held += len(row[3])
-                last = h
-        if rows and (made := solve(rows)) is not None:
-            yield made
+            yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+    def run(batches):
+        rows = rows_of(batches)
+        row = next(rows, None)
+        while row is not None:
+            room = Room(memory)
+            with tempfile.SpooledTemporaryFile(max_size=memory // 8) as spool:
+
+                def strings():
+                    nonlocal row
+                    held, last, before = 0, None, None
+                    while row is not None and (row[0] == last or held < shard):
+                        last, *place, data = row
+                        if place != before:  # a repeated document sends the same place twice
+                            doc, th, lo = place
+                            spool.write(np.array([(doc or 0, th, lo, doc is None)], dtype=PLACE).tobytes())
+                            held += len(data)
+                            before = place
+                            yield data
+                        row = next(rows, None)
+
+                marked = repeats(strings(), length, room)
+                yield from stretches(marked, room, spool)
+
+    def stretches(marked, room, spool):
+        for a, b in room.pieces(0, len(marked)):
+            found = np.flatnonzero(marked[a:b]) + a
+            if not len(found):
+                continue
+            of = np.searchsorted(room.ends, found)
+            at = np.flatnonzero(np.append(True, (found[1:] != found[:-1] + 1) | (of[1:] != of[:-1])))
+            n, of, begin = np.diff(np.append(at, len(found))), of[at], found[at]
+            some, where = np.unique(of, return_inverse=True)
+            spool.seek(int(some[0]) * PLACE.itemsize)
+            place = np.frombuffer(spool.read((int(some[-1]) - int(some[0]) + 1) * PLACE.itemsize), dtype=PLACE)[some - some[0]][where]
+            lo = place["lo"] + begin - np.where(of > 0, room.ends[np.maximum(of - 1, 0)] + 1, 0)
+            yield pa.RecordBatch.from_arrays([pa.array(place["doc"], pa.int64(), mask=place["none"]), pa.array(place["th"], pa.int64()), pa.array(lo << LOW | n, pa.int64())], names=["doc_id", "th", "at"])
 
     return run
 
@@ -259,17 +292,17 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         raise ValueError("length must be from 3 to 32767")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = keyed(docs)
-    found = rows.mapInArrow(runs(length), "hash long, same long, doc_id long, th long, lo long, n int")
-    order = ("hash", "same", F.col("doc_id").asc_nulls_last(), "th", "lo")
-    own = found.sortWithinPartitions(*order).mapInArrow(firsts, "deal long, kind int, hash long, same long, doc_id long, th long, lo long, n int")
+    run = "hash long, same long, more long, doc_id long, th long, at long"
+    found = rows.mapInArrow(runs(length), run)
+    order = ("hash", "same", "more", F.col("doc_id").asc_nulls_last(), "th", "at")
+    own = found.sortWithinPartitions(*order).mapInArrow(firsts, f"deal long, kind int, {run}")
     in_order = own.repartition(parts, "deal").sortWithinPartitions("kind", *order)
-    marked = settled(in_order.mapInArrow(classes, "kind int, hash long, doc_id long, th long, lo long, n int"), "runs")
-    at = (F.shiftleft("lo", LOW) + F.col("n")).alias("at")
-    wanted = marked.where("kind = 1").groupBy("doc_id", "th").agg(F.collect_list(F.struct("hash", at)).alias("runs"))
+    marked = settled(in_order.mapInArrow(classes, "kind int, hash long, doc_id long, th long, at long"), "runs")
+    wanted = marked.where("kind = 1").groupBy("doc_id", "th").agg(F.collect_list(F.struct("hash", "at")).alias("runs"))
     joined = lambda other: rows["doc_id"].eqNullSafe(other["doc_id"]) & (rows["th"] == other["th"])
     data = rows.join(wanted, joined(wanted)).select(rows["doc_id"], rows["th"], "text", "runs").mapInArrow(cut(length), "hash long, doc_id long, th long, lo long, data binary")
-    sorted_ = data.repartition(parts, "hash").sortWithinPartitions("hash").mapInArrow(shards(length), "doc_id long, th long, lo long, n int")
-    covered = marked.where("kind = 0").select("doc_id", "th", "lo", "n").unionByName(sorted_)
-    lists = covered.groupBy("doc_id", "th").agg(F.collect_list(at).alias("covered"))
+    placed = data.repartition(parts, "hash").sortWithinPartitions("hash", F.col("doc_id").asc_nulls_last(), "th", "lo")
+    covered = marked.where("kind = 0").select("doc_id", "th", "at").unionByName(placed.mapInArrow(shards(length), "doc_id long, th long, at long"))
+    lists = covered.groupBy("doc_id", "th").agg(F.collect_list("at").alias("covered"))
     whole = rows.join(lists, joined(lists), "left").select(rows["doc_id"], rows["th"], "text", "covered")
     return whole.mapInArrow(stripped(length), "doc_id long, n_bytes long, n_removed long, removed array<array<long>>, kept binary")

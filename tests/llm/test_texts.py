@@ -62,21 +62,78 @@ def test_suffix_dedup(docs, rows, length):
     assert got == expected
 
 
-@pytest.mark.parametrize("memory", [1 << 20, 60])
+@pytest.mark.parametrize("memory", [1 << 20, 600])
 def test_induced_suffix_order(memory):
     rng = random.Random(memory)
     for _ in range(60):
         alphabet = rng.choice([b"a", b"ab", b"abc", bytes(range(256))])
-        strings = [bytes(rng.choice(alphabet) for _ in range(rng.randint(1, 30))) for _ in range(rng.randint(1, 8))]
+        strings = [bytes(rng.choice(alphabet) for _ in range(rng.randint(0 if k else 1, 60))) for k in range(rng.randint(1, 20))]
         places, at = [], 0
         for k, s in enumerate(strings):
             places += [([x + 1000 for x in s[i:]] + [k], at + i) for i in range(len(s))]
             at += len(s) + 1
         places.sort()
-        got = list(induced.suffixes(strings, memory))[::-1]
-        assert np.concatenate([g[0] for g in got]).tolist() == [p for _, p in places]
+        got = list(induced.suffixes(strings, memory))
+        assert np.concatenate([g[0] for g in got])[::-1].tolist() == [p for _, p in places]
         common = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
-        assert np.concatenate([g[1] for g in got]).tolist() == [0] + [common(a[0], b[0]) for a, b in zip(places, places[1:])]
+        assert np.concatenate([g[1] for g in got])[::-1].tolist() == [common(a[0], b[0]) for a, b in zip(places, places[1:])] + [0]
+        near = [(int(p), int(c) >= 5) for ps, cs in induced.suffixes(strings, memory, depth=5) for p, c in zip(ps, cs)]
+        exact = {p: s[:5] for s, p in places}
+        assert len(near) == len(places)
+        assert all(c == (exact[p][:5] == exact[q][:5] and len(exact[p]) == 5 and min(exact[p]) >= 1000) for (q, _), (p, c) in zip(near, near[1:]))
+
+
+def test_a_shard_far_larger_than_its_memory():
+    import tracemalloc
+
+    rng = random.Random(5)
+    memory = 1 << 19
+    line = [bytes(rng.randrange(1, 256) for _ in range(3)) + prose(rng, 20).encode() for _ in range(300)]
+    strings = [b"".join(rng.choice(line) for _ in range(9)) for _ in range(5_500)]
+    text = b"\0".join(strings) + b"\0"
+    assert len(text) > 10 * memory
+    room = induced.Room(memory)
+    tracemalloc.start()
+    seen, last, n = 0, None, 0
+    for places, common in induced.suffixes(iter(strings), depth=100, room=room):
+        n += len(places)
+        seen ^= int(np.bitwise_xor.reduce(places))
+        if last is not None:  # order and common prefixes at the pieces' ends
+            a, b = text[last : last + 100].split(b"\0")[0], text[places[0] : places[0] + 100].split(b"\0")[0]
+            assert a >= b and (int(common[0]) >= 100) == (a == b and len(a) == 100)
+        last = int(places[-1])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = [p for p in range(len(text)) if text[p]]
+    assert n == len(want) and seen == int(np.bitwise_xor.reduce(np.array(want)))
+    assert room.files > 5 and peak < 6 * memory, peak
+
+
+def test_shards_in_little_memory():
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    passage = [prose(rng, 30).encode() for _ in range(8)]
+    rows = sorted((h, i % 90, 0, 7 * i, b"".join(rng.choice(passage) for _ in range(3))) for h in range(5) for i in range(1 if h == 3 else 80))
+    rows += [(9, None, 5, 0, passage[0] * 2), (9, None, 5, 0, passage[0] * 2)]  # a repeated document
+    batches = [pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows[a : a + 50]), [pa.int64()] * 4 + [pa.binary()])], names=["hash", "doc_id", "th", "lo", "data"]) for a in range(0, len(rows), 50)]
+
+    def places(memory, shard):
+        out = set()
+        for made in suffix_dedup.shards(20, shard, memory)(iter(batches)):
+            for doc, th, at in zip(*(c.to_pylist() for c in made.columns)):
+                out |= {(doc, th, (at >> suffix_dedup.LOW) + k) for k in range(at & (1 << suffix_dedup.LOW) - 1)}
+        return out
+
+    want = set()
+    for h in {r[0] for r in rows}:
+        seen = {}
+        for _, doc, th, lo, data in dict.fromkeys(r for r in rows if r[0] == h):
+            for a in range(len(data) - 19):
+                if seen.setdefault(data[a : a + 20], (doc, th, lo + a)) != (doc, th, lo + a):
+                    want.add((doc, th, lo + a))
+    assert places(4_000, 1) == want and (None, 5, len(passage[0])) in want
+    assert places(1 << 20, 1) == want
 
 
 def test_simhash(docs, rows):
