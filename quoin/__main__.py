@@ -10,19 +10,24 @@ import sys
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from quoin.operators import contract, pagediff, safety
+from quoin.operators import contract, pagediff, regions, safety
 from quoin.plans import packs
 from quoin.plans.run import MAX_CHARACTERS, MAX_SEGMENTS, Run
-from quoin.sources.files import read_jsonl, read_pack
+from quoin.sources.files import export_jsonl, read_jsonl, read_pack
 
 POLICIES = ("preserve", "translate-titles")
 
 
+def found(name: str):
+    """module:attribute."""
+    module, _, attribute = name.partition(":")
+    return getattr(importlib.import_module(module), attribute)
+
+
 def provider(name: str):
     """module:attribute, a provider or a function that makes one."""
-    module, _, attribute = name.partition(":")
-    found = getattr(importlib.import_module(module), attribute)
-    return found if hasattr(found, "provenance") and not isinstance(found, type) else found()
+    one = found(name)
+    return one if hasattr(one, "provenance") and not isinstance(one, type) else one()
 
 
 def parser() -> argparse.ArgumentParser:
@@ -33,6 +38,8 @@ def parser() -> argparse.ArgumentParser:
         "--policy": {"choices": POLICIES, "default": "preserve"},
         "--provider": {"required": True, "help": "module:attribute"},
         "--reviewer": {"required": True},
+        "--reason": {"required": True},
+        "--renderer": {"required": True, "help": "module:attribute, a function from translations to output pages"},
         "--ids": {"nargs": "+", "required": True},
         "--references": {"help": "JSONL with id"},
         "--passthrough": {"help": "JSONL with id"},
@@ -47,8 +54,13 @@ def parser() -> argparse.ArgumentParser:
         "collect": ["folder", "source"],
         "safety-review": ["folder", "pages"],
         "confirm-references": ["folder", "--ids", "--reviewer"],
-        "confirm-passthrough": ["folder", "--ids", "--reviewer"],
+        "confirm-passthrough": ["folder", "--ids", "--reviewer", "--reason"],
+        "reference-review": ["folder", "blocks", "lines"],
         "translate": ["folder", "--provider", "--pack", "--policy", "--max-segments", "--max-characters"],
+        "translate-segments": ["segments", "translations", "--provider", "--pack", "--max-segments", "--max-characters"],
+        "run": ["folder", "source", "pages", "--provider", "--pack", "--policy", "--renderer", "--max-segments", "--max-characters"],
+        "apply-vector-repair": ["folder", "pages"],
+        "apply-text-repair": ["folder", "pages", "verdict"],
         "validate": ["folder", "--pack", "--policy"],
         "render": ["folder", "pages"],
         "qa": ["folder", "pages"],
@@ -64,7 +76,7 @@ def parser() -> argparse.ArgumentParser:
 def perform(spark: SparkSession, a: argparse.Namespace) -> object:
     jsonl = lambda path, schema: read_jsonl(spark, path, schema)
     ids = lambda path: jsonl(path, "id string") if path else None
-    glossary = list(read_pack(spark, a.pack).glossary) if getattr(a, "pack", None) else None
+    pack = read_pack(spark, a.pack) if getattr(a, "pack", None) else None
     if a.command == "domain-check":
         return packs.check(spark, read_pack(spark, a.folder))
     if a.command == "provider-eval":
@@ -74,7 +86,16 @@ def perform(spark: SparkSession, a: argparse.Namespace) -> object:
             raise ValueError(f"{report['failed']} of {report['cases']} targets break the contract")
         return None
     if a.command == "validate-segments":
-        return contract.ensure_valid(jsonl(a.segments, "id string, source string"), jsonl(a.translations, "id string, source string, target string"), glossary, ids(a.references), ids(a.passthrough), a.policy)
+        return contract.ensure_valid(jsonl(a.segments, "id string, source string"), jsonl(a.translations, "id string, source string, target string"), pack and pack.glossary, ids(a.references), ids(a.passthrough), a.policy)
+    if a.command == "translate-segments":  # from file to file: a run of its own beside the translations
+        given = jsonl(a.segments, "id string, source string")
+        run = Run(spark, f"{a.translations}.run")
+        if not run.path.exists():
+            run.initialize(given.select("pos", "source"), {"source": a.segments})
+            run.collect(given.select("pos", "source"))
+        said = run.translate(provider(a.provider), pack, "preserve", a.max_segments, a.max_characters)
+        export_jsonl(run.read(run.load(), "translations").select("pos", "id", "source", "target"), a.translations)
+        return said
     run = Run(spark, a.folder)
     if a.command == "init-run":
         run.initialize(jsonl(a.source, "source string"), {"source": a.source})
@@ -87,12 +108,30 @@ def perform(spark: SparkSession, a: argparse.Namespace) -> object:
         if len(document) != 1:
             raise ValueError("pages must be those of one document")
         return run.hold("safety", safety.review(segments.withColumn("doc_id", F.lit(document[0][0])), pages)).count()
+    elif a.command == "reference-review":  # blocks, lines: parquet, as regions.regions takes them, of the one document
+        blocks, lines = spark.read.parquet(a.blocks), spark.read.parquet(a.lines)
+        document = blocks.select("doc_id").distinct().limit(2).collect()
+        if len(document) != 1:
+            raise ValueError("blocks must be those of one document")
+        segments = run.read(run.load(), "segments").withColumn("doc_id", F.lit(document[0][0]))
+        return run.hold("references", regions.review(segments, regions.regions(blocks, lines))).where("automatic").count()
     elif a.command.startswith("confirm-"):
-        run.confirm(a.command.removeprefix("confirm-"), spark.createDataFrame([(i,) for i in a.ids], "id string"), a.reviewer)
+        asked = spark.createDataFrame([(i,) for i in a.ids], "id string")
+        run.confirm(a.command.removeprefix("confirm-"), asked, a.reviewer, getattr(a, "reason", "confirmed"))
     elif a.command == "translate":
-        return run.translate(provider(a.provider), glossary, a.policy, a.max_segments, a.max_characters)
+        return run.translate(provider(a.provider), pack, a.policy, a.max_segments, a.max_characters)
+    elif a.command == "run":  # pages: those of the source
+        if not run.path.exists():
+            run.initialize(jsonl(a.source, "source string"), {"source": a.source})
+        of = spark.read.parquet(a.pages)
+        return run.to_qa(jsonl(a.source, "source string"), provider(a.provider), found(a.renderer), lambda out: pagediff.inspect(of, out), pack, a.policy, a.max_segments, a.max_characters)
+    elif a.command == "apply-vector-repair":  # pages: the repaired output, with rect, text, images, vectors
+        after = spark.read.parquet(a.pages)
+        run.repair("vector", after, pagediff.verify_vector_repair(run.read(run.load(), "rendered"), after))
+    elif a.command == "apply-text-repair":  # verdict: parquet, as pagediff.verify_text_repair gives
+        run.repair("text", spark.read.parquet(a.pages), spark.read.parquet(a.verdict))
     elif a.command == "validate":
-        run.validate(glossary, a.policy)
+        run.validate(pack, a.policy)
     elif a.command == "render":
         run.render(spark.read.parquet(a.pages))
     elif a.command == "qa":  # pages: those of the source

@@ -51,14 +51,14 @@ def _foldings() -> tuple[str, str, tuple[tuple[str, str], ...]]:
 
 
 def fold(x: Column) -> Column:
-    """Full Unicode case folding; the table comes from str.casefold."""
+    """Full Unicode case folding; the table comes from str.casefold. Of the characters that fold to several, only those that a text has are replaced."""
     one, to, many = _foldings()
-    out = F.translate(x, one, to)
-    for c, f in many:
-        out = F.replace(out, F.lit(c), F.lit(f))
-    some = x.rlike("[" + "".join(c for c, _ in many) + "]")
+    several = "[" + "".join(c for c, _ in many) + "]"
+    table = F.create_map(*(F.lit(y) for pair in many for y in pair))
+    found = F.array_distinct(F.regexp_extract_all(x, F.lit(several), F.lit(0)))
+    out = F.aggregate(found, F.translate(x, one, to), lambda acc, c: F.replace(acc, c, table[c]))
     plain = ~x.rlike(r"[^\x00-\x7f]")
-    return F.when(plain, F.lower(x)).when(~some, F.translate(x, one, to)).otherwise(out)
+    return F.when(plain, F.lower(x)).when(~x.rlike(several), F.translate(x, one, to)).otherwise(out)
 
 
 def match_text(x: Column, ignored: Column | None = None) -> Column:

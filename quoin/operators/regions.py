@@ -80,17 +80,16 @@ def _matched(candidate: str | None, region: str | None) -> float:
 
 
 def coverage(pairs: DataFrame, candidate: str = "candidate", region: str = "region") -> DataFrame:
-    """pairs with coverage: the share of the candidate in matching blocks, in order. Contained candidates are 1 without Python; only others reach the aligner."""
-    quick = F.when((F.col(candidate) == "") | (F.col(region) == ""), F.lit(0.0)).when(F.contains(region, F.col(candidate)), F.lit(1.0))
+    """pairs with coverage: the share of the candidate in matching blocks, in order. Only texts of pairs that are not settled by containment go to Python."""
 
     @F.pandas_udf("double")
     def align(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([_matched(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
-    rows = pairs.withColumn("_quick", quick)
-    done = rows.where("_quick is not null").withColumn("coverage", F.col("_quick"))
-    slow = rows.where("_quick is null").withColumn("coverage", align(candidate, region))
-    return done.unionByName(slow).drop("_quick")
+    known = F.when((F.col(candidate) == "") | (F.col(region) == ""), F.lit(0.0)).when(F.contains(region, F.col(candidate)), F.lit(1.0))
+    rows = pairs.withColumn("_quick", known)
+    rest = lambda c: F.when(F.col("_quick").isNull(), F.col(c))
+    return rows.withColumn("coverage", F.coalesce("_quick", align(rest(candidate), rest(region)))).drop("_quick")
 
 
 def coverage_within(rows: DataFrame) -> DataFrame:

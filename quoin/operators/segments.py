@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quoin.functions.text import segment_id
 
@@ -41,22 +44,37 @@ def pending(segments: DataFrame, *done: DataFrame) -> DataFrame:
     return segments
 
 
+def states(segments: DataFrame, done: DataFrame, keep: DataFrame) -> DataFrame:
+    """segments with state: reused (its id is done), else preserved (to be kept as it is), else pending."""
+    flag = lambda ids, name: ids.select("id").distinct().withColumn(name, F.lit(True))
+    met = segments.join(flag(done, "_done"), "id", "left").join(flag(keep, "_keep"), "id", "left")
+    state = F.when(F.col("_done"), F.lit("reused")).when(F.col("_keep"), F.lit("preserved")).otherwise(F.lit("pending"))
+    return met.withColumn("state", state).drop("_done", "_keep")
+
+
 def batches(rows: DataFrame, max_rows: int, max_size: int, group: list[str] | None = None) -> DataFrame:
-    """rows: pos, size (and group). Greedy batches in order, begun anew on overflow; a row too large is a batch of its own. The fold needs a group's sizes in order, in one task: group by run or document."""
+    """rows: pos, size (and group). Greedy batches in order, begun anew on overflow; a row too large is a batch of its own.
+
+    A batch depends on the one before, so a group's sizes go through one task, as two numbers a row: group by run, document or stretch of positions.
+    """
     if max_rows <= 0 or max_size <= 0:
         raise ValueError("limits must be positive")
     keys = group or []
-    state = "struct<batch:int,n:int,size:bigint,out:array<int>>"
-    start = F.struct(F.lit(0).alias("batch"), F.lit(0).alias("n"), F.lit(0).cast("bigint").alias("size"), F.array().cast("array<int>").alias("out")).cast(state)
-
-    def step(acc, x):
-        full = (acc["n"] > 0) & ((acc["n"] >= max_rows) | (acc["size"] + x["size"] > max_size))
-        batch = F.when(full, acc["batch"] + 1).otherwise(acc["batch"])
-        return F.struct(batch.alias("batch"), F.when(full, 1).otherwise(acc["n"] + 1).alias("n"), (F.when(full, F.lit(0).cast("bigint")).otherwise(acc["size"]) + x["size"]).alias("size"), F.concat(acc["out"], F.array(batch)).alias("out"))
 
-    listed = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", F.col("size").cast("bigint").alias("size")))).alias("items"))
-    folded = listed.withColumn("ids", F.aggregate("items", start, step)["out"])
-    return folded.select(*keys, F.explode(F.arrays_zip("items", "ids")).alias("x")).select(*keys, "x.items.pos", "x.items.size", F.col("x.ids").alias("batch"))
+    def deal(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("pos", kind="stable")
+        sizes, out = part["size"].to_numpy(np.int64), np.zeros(len(part), dtype=np.int32)
+        ends = np.append(0, np.cumsum(sizes))
+        at, batch = 0, 0
+        while at < len(sizes):  # once a batch
+            to = min(at + max_rows, max(at + 1, int(np.searchsorted(ends, ends[at] + max_size, side="right")) - 1))
+            out[at:to] = batch
+            at, batch = to, batch + 1
+        return part.assign(batch=out)
+
+    narrow = rows.select(*keys, F.col("pos").cast("long").alias("pos"), F.col("size").cast("long").alias("size"), F.lit(0).alias("_all"))
+    schema = T.StructType([*narrow.schema.fields, T.StructField("batch", T.IntegerType())])
+    return narrow.groupBy(*keys, "_all").applyInPandas(deal, schema).drop("_all")
 
 
 def split_results(judged: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -12,6 +12,13 @@ NUMBER = lambda x: rf"regexp_extract_all({x}, '(?:^|[^\p{{Nd}}A-Za-z])([-+−]?\
 ABBREVIATION = lambda x: rf"list_filter(regexp_extract_all(regexp_replace({x}, '([^A-Za-z0-9-])', '\1\1', 'g'), '(?:^|[^A-Za-z0-9])([A-Z][A-Z0-9-]+)(?:$|[^A-Za-z0-9])', 1), lambda v: v NOT IN ('ABSTRACT', 'KEYWORDS', 'REFERENCES'))"
 FORMULA = lambda x: rf"regexp_extract_all({x}, '\{{v\p{{Nd}}+\}}')"
 STYLE = lambda x: rf"regexp_extract_all({x}, '(?i)<style[{W}]+id=[''\x22]\p{{Nd}}+[''\x22]>|</style>')"
+# units without looking around: every character but letters is doubled, so that a boundary can be taken by either neighbour; signs that are units get one of their own
+APART = lambda x: rf"regexp_replace(regexp_replace(replace(replace({x}, '%', chr(4) || '%' || chr(4)), '°', chr(4) || '°'), '([A-Za-z])\x04([%°])', '\1\2', 'g'), '%\x04([A-Za-z])', '%\1', 'g')"
+DOUBLE = lambda x: rf"regexp_replace({APART(x)}, '([^A-Za-z])', '\1\1', 'g')"
+SINGLE = lambda x: rf"regexp_replace({x}, '([^A-Za-z])[^A-Za-z]', '\1', 'g')"
+GAP = rf"(?:[{W}]{{2}})*"
+UNITS = rf"%%|°°[CF]?|mm|cm|m|km|Pa|hPa|K|W{GAP}m(?:--)?22|g{GAP}C{GAP}m(?:--)?22(?:{GAP}d(?:--)?11)?|µµmol{GAP}m(?:--)?22{GAP}s(?:--)?11"
+UNIT = lambda x: f"list_transform(regexp_extract_all({DOUBLE(x)}, '(?i)(?:^|[^A-Za-z])({UNITS})(?:$|[^A-Za-z])', 1), lambda v: {SINGLE('v')})"
 BARE = lambda x: f"list_transform({x}, lambda v: rtrim(v, '.,;:!?。，、；：！？'))"
 URL = lambda x: BARE(rf"regexp_extract_all({x}, '(?i)https?://{STOP}+')")
 DOI = lambda x: BARE(rf"regexp_extract_all({x}, '(?i)\b10\.\p{{Nd}}{{4,9}}/{STOP}+')")
@@ -32,14 +39,14 @@ def lost(a: str, b: str) -> str:
     return f"array_to_string(list_transform(list_filter(range(1, len({a}) + 1), lambda i: list_position({a}, {a}[i]) = i AND len(list_filter({a}, lambda x: x = {a}[i])) > len(list_filter({b}, lambda x: x = {a}[i]))), lambda i: {a}[i]), '|')"
 
 
-SIDES = {"f": FORMULA, "s": STYLE, "u": URL, "d": DOI, "n": NUMBER, "a": ABBREVIATION}
+SIDES = {"f": FORMULA, "s": STYLE, "u": URL, "d": DOI, "n": NUMBER, "a": ABBREVIATION, "m": UNIT}
 ERRORS = rf"""{PAIRS},
 tok AS (SELECT id, source, target, {', '.join(f"{f('source')} AS {k}1, {f('target')} AS {k}2" for k, f in SIDES.items())} FROM pairs),
 err AS (SELECT id, CASE WHEN {STRIP('target')} = '' THEN ['blank'] ELSE list_filter([
   CASE WHEN list_sort(f1) <> list_sort(f2) THEN 'formula_mismatch' END, CASE WHEN list_sort(s1) <> list_sort(s2) THEN 'style_mismatch' END,
   CASE WHEN list_sort(u1) <> list_sort(u2) THEN 'url_mismatch' END, CASE WHEN list_sort(d1) <> list_sort(d2) THEN 'doi_mismatch' END,
   CASE WHEN {lost('n1', 'n2')} <> '' THEN 'number_missing:' || {lost('n1', 'n2')} END, CASE WHEN {lost('a1', 'a2')} <> '' THEN 'abbreviation_missing:' || {lost('a1', 'a2')} END,
-  CASE WHEN s1 <> s2 THEN 'style_order' END,
+  CASE WHEN {lost('m1', 'm2')} <> '' THEN 'unit_missing:' || {lost('m1', 'm2')} END, CASE WHEN s1 <> s2 THEN 'style_order' END,
   CASE WHEN len(regexp_extract_all(source, '[A-Za-z]')) >= 40 AND NOT regexp_matches(target, '[\x{{3400}}-\x{{9fff}}]') THEN 'cjk_missing' END], lambda e: e IS NOT NULL) END AS e FROM tok)"""
 
 FOLD = lambda x: f"replace(lower({x}), 'ß', 'ss')"
@@ -58,7 +65,7 @@ dr AS (SELECT doc_id, page, ord, printf('%.2f', d * 1.005) || ',' || printf('%.2
 
 def glossary_sql() -> str:
     terms = "(VALUES ('the', 'der', 'the'), ('tion', 'que', 'Tion')) AS g(s, t, term)"
-    return f"WITH {SEGS} SELECT id, term FROM segs JOIN {terms} ON contains(lower(source), s) AND NOT contains(lower(source), t)"
+    return f"{PAIRS}, glossary AS (SELECT id, term FROM pairs JOIN {terms} ON contains({FOLD('source')}, s) AND NOT contains({FOLD('target')}, t))"
 
 
 def oracle_sql() -> dict[str, str]:
@@ -72,11 +79,18 @@ def oracle_sql() -> dict[str, str]:
         "tok_url": f"""SELECT page_id, {rt(URL("'see ' || url || ').'"))} AS found FROM pages""",
         "token_counts": f"WITH {PAIRS}, t AS (SELECT unnest({NUMBER('source')}) AS token FROM pairs) SELECT token, count(*) AS n FROM t GROUP BY token",
         "contract_errors": f"WITH {ERRORS} SELECT id, array_to_string(e, ',') AS errors FROM err",
+        "tok_unit": f"WITH t AS (SELECT doc_id, {UNIT('text')} AS t FROM documents) SELECT doc_id, CAST(len(t) AS INT) AS n, {rt('t')} AS found FROM t WHERE len(t) > 0",
+        "contract_summary_all": f"WITH {ERRORS}{glossary_sql().removeprefix(PAIRS)}, x AS (SELECT unnest(e) AS e FROM err UNION ALL SELECT 'glossary' FROM glossary JOIN err USING (id) WHERE e <> ['blank']) SELECT split_part(e, ':', 1) AS code, count(*) AS n FROM x GROUP BY 1",
         "contract_summary": f"WITH {ERRORS}, x AS (SELECT unnest(CASE WHEN len(e) = 0 THEN ['clean'] ELSE e END) AS e FROM err) SELECT split_part(e, ':', 1) AS code, count(*) AS n FROM x GROUP BY 1",
         "multiset_missing": f"WITH {PAIRS}, a AS (SELECT id, unnest({NUMBER('source')}) AS token FROM pairs), b AS (SELECT id, unnest({NUMBER('target')}) AS token FROM pairs), x AS (SELECT * FROM a EXCEPT ALL SELECT * FROM b) SELECT token, count(*) AS n FROM x GROUP BY token",
-        "glossary_violations": glossary_sql(),
+        "glossary_violations": f"WITH {glossary_sql()} SELECT id, term FROM glossary",
         "id_closure": f"WITH {SEGS}, a AS (SELECT id FROM segs WHERE id < 'd'), b AS (SELECT id FROM segs WHERE id > '3') SELECT coalesce(a.id, b.id) AS id, CASE WHEN b.id IS NULL THEN 'missing' ELSE 'unexpected' END AS side FROM a FULL JOIN b ON a.id = b.id WHERE a.id IS NULL OR b.id IS NULL",
-        "validate_rows": f"WITH {SEGS} SELECT id, 'missing' AS code FROM segs WHERE id <= '1' UNION ALL SELECT id, 'source' FROM segs WHERE id > 'e'",
+        "validate_rows": rf"""WITH {SEGS},
+t AS (SELECT id, source, id > 'e' AS changed, CASE WHEN id >= '58' AND id <= '68' THEN source || ' 7 中' ELSE source END AS target FROM segs WHERE id > '1' UNION ALL SELECT id, source, false, source FROM segs WHERE id >= 'c0' AND id <= 'c8'),
+r AS (SELECT id, id >= '5c' AND id <= '7' AS through, id >= '3' AND id <= '60' AS ref, changed, source = target AS same, len(regexp_extract_all(source, '[A-Za-z]')) >= 40 AND NOT regexp_matches(target, '[\x{{3400}}-\x{{9fff}}]') AS cjk FROM t),
+e AS (SELECT id, CASE WHEN changed THEN 'source' WHEN through THEN CASE WHEN NOT same THEN 'passthrough_changed' END WHEN ref THEN CASE WHEN NOT same THEN 'preserved_changed' END WHEN cjk THEN 'cjk_missing' END AS code FROM r)
+SELECT id, code FROM e WHERE code IS NOT NULL UNION ALL SELECT id, 'missing' FROM segs WHERE id <= '1' UNION ALL SELECT id, 'duplicate_translation' FROM segs WHERE id >= 'c0' AND id <= 'c8'
+UNION ALL SELECT id, 'reference_and_passthrough' FROM segs WHERE id >= '5c' AND id <= '60' UNION ALL VALUES ('zz', 'unexpected'), ('none', 'unknown_passthrough')""",
         "lookup_targets": f"WITH {SEGS} SELECT pos, CASE WHEN id < '4' THEN 'later' WHEN id < '8' THEN 'T:' || substr(id, 1, 6) END AS target FROM keyed",
         "batches": """WITH RECURSIVE d AS (SELECT source, doc_id, n_chars AS size, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents),
 r AS (SELECT source, doc_id, i, 0 AS batch, 1 AS n, size AS total FROM d WHERE i = 1
@@ -84,13 +98,7 @@ UNION ALL SELECT d.source, d.doc_id, d.i, CASE WHEN r.n >= 12 OR r.total + d.siz
 FROM r JOIN d ON d.source = r.source AND d.i = r.i + 1) SELECT source, doc_id, CAST(batch AS INT) AS batch FROM r""",
         "resume_pending": f"WITH {SEGS} SELECT count(*) FILTER (id < '5') AS reused, count(*) FILTER (id >= '5' AND id <= '9') AS preserved, count(*) FILTER (id > '9') AS pending FROM segs",
         "passthrough_confirm": f"WITH {SEGS}, e AS (SELECT row_number() OVER (ORDER BY id) AS pos, id FROM segs WHERE id < '08'), n AS (SELECT id, row_number() OVER (ORDER BY pos) AS rn FROM segs WHERE id >= '08' AND id <= '0c') SELECT pos, id FROM e UNION ALL SELECT (SELECT coalesce(max(pos), 0) FROM e) + rn, id FROM n",
-        "split_word_scan": rf"""WITH d AS (SELECT doc_id, {STRIP(f"regexp_replace(text, '[{W}]+', ' ', 'g')")} AS text, substr(text, 6, 4) AS raw FROM documents WHERE length(text) > 20),
-s AS (SELECT doc_id, text, {STRIP(f"regexp_replace(raw, '[{W}]+', ' ', 'g')")} AS needle FROM d WHERE trim(raw, ' ') = raw),
-o AS (SELECT doc_id, text, needle, unnest(list_filter(range(1, length(text) - length(needle) + 2), lambda i: substr(text, i, length(needle)) = needle)) AS i FROM s WHERE needle <> ''),
-x AS (SELECT doc_id, i, regexp_extract(substr(text, 1, i - 1), '([A-Za-z]*)\z', 1) AS prefix, regexp_extract(substr(text, i + length(needle)), '\A([A-Za-z]*)', 1) AS suffix, substr(text, greatest(i - 24, 1), i + length(needle) + 24 - greatest(i - 24, 1)) AS context FROM o),
-g AS (SELECT doc_id, count(*) AS visible, count(*) FILTER (prefix <> '' OR suffix <> '') AS splits, first(prefix ORDER BY i) FILTER (prefix <> '' OR suffix <> '') AS prefix, first(suffix ORDER BY i) FILTER (prefix <> '' OR suffix <> '') AS suffix, first(context ORDER BY i) FILTER (prefix <> '' OR suffix <> '') AS context FROM x GROUP BY doc_id)
-SELECT doc_id, 'split-ascii-word-boundary' AS kind, visible, CAST(splits AS INT) AS splits, prefix, suffix, context FROM g WHERE splits > 0""",
-        "coverage_fastpath": f"WITH {LINES} SELECT d.doc_id, CAST(length({MATCH('l.source')}) AS INT) AS n, CAST(length({MATCH('d.text')}) AS INT) AS m, CASE WHEN {MATCH('l.source')} = '' THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS coverage FROM lines l JOIN documents d USING (doc_id) WHERE line_no = 2",
+        "coverage_fastpath": f"WITH {LINES}, d AS (SELECT doc_id, length({MATCH('text')}) AS m FROM documents), c AS (SELECT doc_id, pos, length({MATCH('source')}) AS n FROM lines) SELECT doc_id, pos, CAST(n AS INT) AS n, CAST(m AS INT) AS m, CASE WHEN n = 0 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS coverage FROM c JOIN d USING (doc_id)",
         "region_slice": f"""WITH {BLOCKS}, i AS (SELECT b.* FROM blocks b JOIN heads USING (doc_id) LEFT JOIN stop USING (doc_id) WHERE n > 5 AND (stop IS NULL OR n < stop)),
 g AS (SELECT doc_id, string_agg(text, chr(10) ORDER BY n) AS region FROM i GROUP BY doc_id),
 m AS (SELECT doc_id, count(*) AS numbers FROM blocks JOIN heads USING (doc_id) LEFT JOIN stop USING (doc_id) WHERE stop IS NULL OR n < stop GROUP BY doc_id)
@@ -108,6 +116,7 @@ SELECT doc_id, array_to_string(CASE WHEN changed = 0 THEN bad || ['nothing_added
         "outside_words": f"""WITH {DRAWN}, w AS (SELECT doc_id, page, CAST(printf('%.2f', d * 1.005) AS DOUBLE) AS x0, CAST(printf('%.2f', t * 1.005) AS DOUBLE) AS y0, CAST(printf('%.2f', d * 1.005 + 0.02) AS DOUBLE) AS x1, CAST(printf('%.2f', t * 1.005 + 0.02) AS DOUBLE) AS y1, CAST(ord AS VARCHAR) AS word FROM li
 WHERE NOT (greatest(d * 1.005, 0.0) < least(d * 1.005 + 0.02, 0.05::DOUBLE) AND greatest(t * 1.005, 0.0) < least(t * 1.005 + 0.02, 0.04::DOUBLE)))
 SELECT doc_id, page, CAST(count(*) AS INT) AS n, first(x0 ORDER BY x0, y0, x1, y1, word) AS x0, first(word ORDER BY x0, y0, x1, y1, word) AS word FROM w GROUP BY doc_id, page""",
-        "eval_report": f"WITH {ERRORS}, x AS (SELECT len(e) AS n, source = target AS same FROM err JOIN pairs USING (id) WHERE substr(id, 1, 1) IN ('0', '1', '7', '8', 'c')) SELECT count(*) AS cases, count(*) FILTER (n = 0) AS passed, count(*) FILTER (n > 0) AS failed, count(*) FILTER (same) AS exact FROM x",
+        "eval_report": f"WITH {ERRORS}, x AS (SELECT len(e) AS n, source = target AS same FROM err JOIN pairs USING (id)) SELECT count(*) AS cases, count(*) FILTER (n = 0) AS passed, count(*) FILTER (n > 0) AS failed, count(*) FILTER (same) AS exact FROM x",
+        "eval_cases": f"WITH {ERRORS} SELECT id, array_to_string(e, ',') AS errors, len(e) = 0 AS passed, source = target AS exact FROM err JOIN pairs USING (id)",
         "missing_glyphs": "WITH c AS (SELECT doc_id, unnest(list_distinct(string_split(text, ''))) AS ch FROM documents), m AS (SELECT doc_id, ch FROM c WHERE ch <> '' AND NOT (unicode(ch) BETWEEN 32 AND 126)) SELECT doc_id, string_agg(ch, '' ORDER BY encode(ch)) AS missing FROM m GROUP BY doc_id",
     }

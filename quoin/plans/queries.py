@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quoin.functions import tokens as T
-from quoin.functions.text import match_text, segment_id, strip
+from quoin.functions.text import fold, match_text, segment_id, strip
 from quoin.operators import contract, pagediff, regions, safety, segments
 
 GLOSSARY = [{"source": "the", "target": "DER", "required": True, "note": ""}, {"source": "Tion", "target": "que", "required": True, "note": ""}, {"source": "is", "target": "absent", "required": False, "note": ""}]
@@ -83,22 +83,17 @@ def token_counts(spark, sf_dir):
 
 
 def contract_errors(spark, sf_dir):
-    e = pairs(spark, sf_dir).withColumn("e", contract.errors(F.col("source"), F.col("target")))
-    shown = F.filter("e", lambda x: ~x.startswith("unit_missing"))  # units have no SQL equivalent; contract_summary_all counts them
-    return e.select("id", F.array_join(shown, ",").alias("errors"))
-
-
-def contract_errors_all(spark, sf_dir):
-    """With lost units, which SQL cannot express."""
     return pairs(spark, sf_dir).select("id", F.array_join(contract.errors(F.col("source"), F.col("target")), ",").alias("errors"))
 
 
 def contract_summary(spark, sf_dir):
-    e = contract_errors(spark, sf_dir).select(F.explode(F.split("errors", ",(?=[a-z_]+(?::|,|$))")).alias("e"))
-    return e.groupBy(F.when(F.col("e") == "", "clean").otherwise(F.regexp_extract("e", "^[a-z_]+", 0)).alias("code")).agg(F.count("*").alias("n"))
+    e = contract.errors(F.col("source"), F.col("target"))
+    each = pairs(spark, sf_dir).select(F.explode(F.when(F.size(e) == 0, F.array(F.lit("clean"))).otherwise(e)).alias("e"))
+    return each.groupBy(F.split("e", ":")[0].alias("code")).agg(F.count("*").alias("n"))
 
 
 def contract_summary_all(spark, sf_dir):
+    """With a glossary."""
     e = pairs(spark, sf_dir).select(F.explode(contract.errors(F.col("source"), F.col("target"), GLOSSARY)).alias("e"))
     return e.groupBy(F.split("e", ":")[0].alias("code")).agg(F.count("*").alias("n"))
 
@@ -110,8 +105,7 @@ def multiset_missing(spark, sf_dir):
 
 
 def glossary_violations(spark, sf_dir):
-    p = collected(spark, sf_dir)
-    got = p.select("id", F.explode(contract.glossary_errors(F.lower("source"), F.lower("source"), GLOSSARY)).alias("e"))
+    got = pairs(spark, sf_dir).select("id", F.explode(contract.glossary_errors(fold(F.col("source")), fold(F.col("target")), GLOSSARY)).alias("e"))
     return got.select("id", F.substring("e", 10, 99).alias("term"))
 
 
@@ -121,10 +115,14 @@ def id_closure(spark, sf_dir):
 
 
 def validate_rows(spark, sf_dir):
+    """Every code of every row: missing, unexpected, repeated, unknown and overlapping ids, changed sources, and the contract."""
     s = collected(spark, sf_dir).select("id", "source")
-    t = s.where("id > '1'").select("id", F.when(F.col("id") > "e", F.concat("source", F.lit("!"))).otherwise(F.col("source")).alias("source"), "source").toDF("id", "source", "target")
-    bad = contract.validate(s, t, None, s.where("id between '3' and '5'").select("id"), s.where("id between '6' and '7'").select("id"))
-    return bad.select("id", F.get(F.filter("errors", lambda e: e.isin("missing", "unexpected", "source", "id", "preserved_changed", "passthrough_changed")), F.lit(0)).alias("code")).where("code is not null")
+    t = s.where("id > '1'").select("id", F.when(F.col("id") > "e", F.concat("source", F.lit("!"))).otherwise(F.col("source")).alias("own"), F.when(F.col("id").between("58", "68"), F.concat("source", F.lit(" 7 中"))).otherwise(F.col("source")).alias("target")).withColumnRenamed("own", "source")
+    more = s.where("id between 'c0' and 'c8'").select("id", "source", F.col("source").alias("target"))
+    t = t.unionByName(more).unionByName(more.limit(0).unionByName(spark.createDataFrame([("zz", "z", "z")], "id string, source string, target string")))
+    through = s.where("id between '5c' and '7'").select("id").unionByName(spark.createDataFrame([("none",)], "id string"))
+    bad = contract.validate(s, t, None, s.where("id between '3' and '60'").select("id"), through)
+    return bad.select("id", F.explode("errors").alias("code"))
 
 
 def lookup_targets(spark, sf_dir):
@@ -142,10 +140,8 @@ def batches(spark, sf_dir):
 
 def resume_pending(spark, sf_dir):
     s = collected(spark, sf_dir)
-    old = s.where("id < '5'").select("id")
-    kept = segments.preserved(s, s.where("id between '4' and '9'").select("id"), old)
-    todo = segments.pending(s, old, kept)
-    return old.agg(F.count("*").alias("reused")).crossJoin(kept.agg(F.count("*").alias("preserved"))).crossJoin(todo.agg(F.count("*").alias("pending")))
+    states = segments.states(s, s.where("id < '5'").select("id"), s.where("id between '4' and '9'").select("id"))
+    return states.agg(*(F.count_if(F.col("state") == x).alias(x) for x in ("reused", "preserved", "pending")))
 
 
 def passthrough_confirm(spark, sf_dir):
@@ -162,14 +158,6 @@ def _by(c):
 
 
 def split_word_scan(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("length(text) > 20").select("doc_id", "text")
-    segs = d.select("doc_id", F.col("doc_id").cast("string").alias("id"), F.substring("text", 6, 4).alias("source"))
-    pages = d.select("doc_id", F.lit(1).alias("page"), "text")
-    got = safety.review(segs.where("trim(source) = source"), pages)
-    return got.select("doc_id", "kind", "visible", F.size("splits").alias("splits"), *(F.get("splits", F.lit(0))[c].alias(c) for c in ("prefix", "suffix", "context")))
-
-
-def split_word_scan_all(spark, sf_dir):
     """Every line, without outer white space, of every document, where its letters go on in the document's text: one row a split."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("page"), "text")
     segs = lines(spark, sf_dir).select("doc_id", strip(F.col("source")).alias("source")).distinct().select("doc_id", segment_id(F.col("source")).alias("id"), "source")
@@ -184,11 +172,7 @@ def _coverage_pairs(spark, sf_dir):
 
 
 def coverage_fastpath(spark, sf_dir):
-    """The lines that the SQL names, the second of each document; coverage_fastpath_all has every line."""
-    return regions.coverage(_coverage_pairs(spark, sf_dir).where("line_no = 2")).select("doc_id", F.length("candidate").alias("n"), F.length("region").alias("m"), "coverage")
-
-
-def coverage_fastpath_all(spark, sf_dir):
+    """Every line against the text it is from."""
     return regions.coverage(_coverage_pairs(spark, sf_dir)).select("doc_id", "pos", F.length("candidate").alias("n"), F.length("region").alias("m"), "coverage")
 
 
@@ -267,15 +251,16 @@ def _cases(spark, sf_dir):
 
 
 def eval_report(spark, sf_dir):
-    """The cases that the SQL names, 5 of 16 first digits; eval_report_all has every pair."""
-    return contract.evaluate(_cases(spark, sf_dir).where("substring(pos, 1, 1) in ('0', '1', '7', '8', 'c')"))
+    return contract.evaluate(_cases(spark, sf_dir))
 
 
-def eval_report_all(spark, sf_dir):
-    return contract.evaluate(_cases(spark, sf_dir))
+def eval_cases(spark, sf_dir):
+    """The same, one row a case."""
+    got = contract.evaluated(_cases(spark, sf_dir))
+    return got.select(F.col("pos").alias("id"), F.array_join("errors", ",").alias("errors"), "passed", "exact")
 
 
-REGISTERED = (seg_collect, seg_dup_count, tok_number, tok_abbreviation, tok_unit, tok_formula_style, tok_url, token_counts, contract_errors, contract_errors_all, contract_summary, contract_summary_all, multiset_missing, glossary_violations, id_closure, validate_rows, lookup_targets, batches, resume_pending, passthrough_confirm, split_word_scan, split_word_scan_all, coverage_fastpath, coverage_fastpath_all, coverage_full, region_slice, region_review, page_pair_diff, missing_drawings, vector_repair, outside_words, missing_glyphs, eval_report, eval_report_all)
+REGISTERED = (seg_collect, seg_dup_count, tok_number, tok_abbreviation, tok_unit, tok_formula_style, tok_url, token_counts, contract_errors, contract_summary, contract_summary_all, multiset_missing, glossary_violations, id_closure, validate_rows, lookup_targets, batches, resume_pending, passthrough_confirm, split_word_scan, coverage_fastpath, coverage_full, region_slice, region_review, page_pair_diff, missing_drawings, vector_repair, outside_words, missing_glyphs, eval_report, eval_cases)
 
 
 def queries() -> dict:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quoin.functions.text import segment_id
 from quoin.operators import pagediff, regions, safety
 from quoin.plans.run import Run
-from quoin.provider import BatchProvider, ColumnProvider, checked_endpoint, parse
+from quoin.provider import BatchProvider, ColumnProvider, Context, checked_endpoint, closed, request
 from quoin.sources import files
 
 HEADS = {"Reference": 1, "REFERENCES": 1, "6 Reference 353": 1, "6 References": 1, " references\n": 1, "See Reference 353": 0, "6 Reference methods 353": 0, "Reference list follows": 0, "": 0}
@@ -137,19 +137,66 @@ def test_packs(spark, tmp_path):
     pack = files.read_pack(spark, str(tmp_path))
     assert [(g["source"], g["required"], g["note"]) for g in pack.glossary] == [('red "x"', True, ""), ("blue", False, "n")]
     (tmp_path / "prompt.txt").write_text("do that\n")
-    assert files.read_pack(spark, str(tmp_path)).content_sha256 != pack.content_sha256
+    assert files.read_pack(spark, str(tmp_path)).identity["content_sha256"] != pack.identity["content_sha256"]
+    assert files.read_pack(spark, "p", str(tmp_path.parent)).identity["id"] == "p" and [tuple(r) for r in pack.cases.collect()] == [(1, "a", "b")]
+    for lost in ("p", str(tmp_path / "none")):
+        with pytest.raises(ValueError):
+            files.read_pack(spark, lost)
+    cases = tmp_path / "eval_cases.jsonl"
+    for bad in ('{"source":"a"}', '{"source":"a","target":"b","more":"c"}', '{"source":1,"target":"b"}', "x"):
+        cases.write_text('{"source":"a","target":"b"}\n' + bad + "\n")
+        with pytest.raises(ValueError, match="line 2"):
+            files.read_pack(spark, str(tmp_path))
+    cases.write_text('{"source":"a","target":"b"}\n')
     for bad in ("source\ttarget\trequired\nx\ty\ttrue\n", "source\ttarget\trequired\tnote\nSS\ty\ttrue\t\nß\tz\ttrue\t\n", "source\ttarget\trequired\tnote\nx\ty\tmaybe\t\n", "source\ttarget\trequired\tnote\nx\t\ttrue\t\n"):
         table.write_text(bad)
         with pytest.raises(ValueError):
             files.read_pack(spark, str(tmp_path))
 
 
-def test_provider_answers_and_endpoints():
-    ok = {"translations": [{"id": "b", "target": "B"}, {"id": "a", "target": "A"}]}
-    assert parse(ok, ["a", "b"]) == ["A", "B"]
-    for bad in ({}, {"translations": ok["translations"][:1]}, {"translations": [*ok["translations"], {"id": "c", "target": "C"}]}, {"translations": [*ok["translations"], ok["translations"][0]]}, {"translations": [{"id": "a", "target": 1}, {"id": "b", "target": "B"}]}):
-        with pytest.raises(ValueError):
-            parse(bad, ["a", "b"])
+def test_lines_are_numbered_over_splits(spark, tmp_path):
+    import json
+
+    want = [{"id": f"{i:04d}", "source": "é" * (i % 7)} for i in range(900)]
+    (tmp_path / "a.jsonl").write_text("\n".join("" if i % 50 == 9 else json.dumps(r) for i, r in enumerate(want[:700])))
+    (tmp_path / "b.jsonl").write_text("\r\n".join(map(json.dumps, want[700:])) + "\r\n")
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        frame = files.read_jsonl(spark, f"{tmp_path}/*.jsonl", "id string, source string")
+        assert frame.rdd.getNumPartitions() > 5
+        got = [tuple(r) for r in frame.orderBy("pos").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    assert got == [(i + 1, r["id"], r["source"]) for i, r in enumerate(want) if i >= 700 or i % 50 != 9]
+
+
+def test_provider_answers_close_over_their_ids(spark):
+    import json
+
+    a, b = {"id": "a", "target": "A"}, {"id": "b", "target": "B"}
+    said = {
+        "": [b, a], "missing: b": [a], "unexpected: c": [a, b, {"id": "c", "target": "C"}], "repeated: a": [a, b, a], "shape": [{"id": "a", "target": 1}, b], "shape ": [{**a, "more": "x"}, b], "shape  ": [{"id": "a"}, b], "shape   ": [],
+    }
+    rows = [(k.strip(), json.dumps({"translations": v}), None) for k, v in said.items()] + [("shape", "no json", None), ("shape", "{}", None), ("call: lost", None, "call: lost")]
+    frame = spark.createDataFrame([(k, [("a",), ("b",)], x, f) for k, x, f in rows], "want string, rows array<struct<id:string>>, answer string, failure string")
+    got = closed(frame).collect()
+    assert [r["want"] for r in got] == [r["problem"] or "" for r in got]
+    assert got[0]["targets"] == {"a": "A", "b": "B"} and all(r["targets"] is None for r in got[1:])
+
+
+def test_requests_tell_the_kind_and_the_rules(spark):
+    import json
+
+    frame = spark.createDataFrame([([("a", 'say "x"', True), ("b", "y", False)],)], "rows array<struct<id:string,source:string,is_reference:boolean>>")
+    told = lambda policy: json.loads(frame.select(request(F.col("rows"), Context("en", "de", policy, "Be brief.", ({"source": "red", "target": "rot", "required": True, "note": ""},)))).first()[0])
+    got = told("translate-titles")
+    assert got["segments"] == [{"id": "a", "kind": "reference", "source": 'say "x"'}, {"id": "b", "kind": "body", "source": "y"}]
+    assert (got["source_language"], got["target_language"], got["prompt"], got["glossary"]) == ("en", "de", "Be brief.", [{"source": "red", "target": "rot"}])
+    assert len(got["rules"]) == len(told("preserve")["rules"]) + 1
+
+
+def test_endpoints():
     assert checked_endpoint("https://x.org/v1/") == "https://x.org/v1" and checked_endpoint("http://localhost:1/v1")
     for bad in ("http://x.org", "https://u:p@x.org", "https://x.org/?k=1", "https://x.org/#f", "ftp://x"):
         with pytest.raises(ValueError):
@@ -175,8 +222,10 @@ def test_run_resumes_and_guards(spark, tmp_path):
     assert run.load()["status"] == "collected"
     seen = []
 
-    def call(batch):
-        return {"translations": [{"id": i, "target": s + "!"} for i, s in batch]}
+    def call(text):
+        import json
+
+        return {"translations": [{"id": x["id"], "target": x["source"] + "!"} for x in json.loads(text)["segments"]]}
 
     assert run.translate(BatchProvider("calls", call), max_segments=1) == (2, 1)
     assert run.translate(broken) == (3, 0) and not seen

@@ -59,8 +59,8 @@ def test_coverage_full_takes_whole_texts(spark, sf, texts):
     assert len(plain(texts[1].split("\n")[1])) > 300 and got[1_000_002] > 0.99
 
 
-def test_coverage_fastpath_all_takes_every_line(spark, sf, texts):
-    got = {(r["pos"], r["n"], r["m"], r["coverage"]) for r in queries.coverage_fastpath_all(spark, sf).collect()}
+def test_coverage_fastpath_takes_every_line(spark, sf, texts):
+    got = {(r["pos"], r["n"], r["m"], r["coverage"]) for r in queries.coverage_fastpath(spark, sf).collect()}
     assert got == {(p, len(plain(x)), len(plain(t)), 1.0) for p, (x, t) in every_line(texts).items()}
     assert {p for p, *_ in got} >= {3_000_001, 4_000_001, 1_000_004}  # no second line, a blank one, the fourth
 
@@ -88,29 +88,27 @@ def digits(texts):
     return [hashlib.sha256(x.encode()).hexdigest()[0] for x in {x.strip() for t in texts for x in t.split("\n") if x.strip()}]
 
 
-def test_eval_report_all_judges_every_pair(spark, tmp_path):
+def test_eval_report_judges_every_pair(spark, tmp_path):
     rng = random.Random(10)
     docs = ["\n".join(prose(rng, 8) for _ in range(30)) for _ in range(5)]
     spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     h = digits(docs)
     assert set(h) == set("0123456789abcdef")
     passed, exact = sum(x in "89ab" for x in h), sum(x in "0123" for x in h)  # by the rules of pairs
-    assert tuple(queries.eval_report_all(spark, str(tmp_path)).first()) == (len(h), passed, len(h) - passed, exact)
+    assert tuple(queries.eval_report(spark, str(tmp_path)).first()) == (len(h), passed, len(h) - passed, exact)
 
 
-def test_contract_errors_all_keeps_lost_units(spark, tmp_path):
+def test_contract_errors_keeps_lost_units(spark, tmp_path):
     rng = random.Random(11)
     docs = ["\n".join(prose(rng, 8) + " 5 W m-2" for _ in range(30)) for _ in range(3)]
     spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    rows = {r["id"]: r["errors"] for r in queries.contract_errors_all(spark, str(tmp_path)).collect()}
+    rows = {r["id"]: r["errors"] for r in queries.contract_errors(spark, str(tmp_path)).collect()}
     lost = {i for i, e in rows.items() if "unit_missing:" in e}
     assert sorted(x[0] for x in rows) == sorted(digits(docs))
     assert lost == {i for i in rows if i[0] in "456"}  # their targets lose the digit of m-2
-    cut = {r["id"]: r["errors"] for r in queries.contract_errors(spark, str(tmp_path)).collect()}
-    assert {i for i in rows if rows[i] != cut[i]} == lost
 
 
-def test_split_word_scan_all_takes_every_line(spark, tmp_path):
+def test_split_word_scan_takes_every_line(spark, tmp_path):
     docs = {1: "a cat\ncatalogue of cats\n cat \nconcat", 2: "short\nshorts", 3: "at\nand", 4: "whole lines only here"}
     spark.createDataFrame(list(docs.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     want = set()
@@ -122,6 +120,6 @@ def test_split_word_scan_all_takes_every_line(spark, tmp_path):
                 after = re.match("[A-Za-z]*", flat[m.start() + len(line) :])[0]
                 if before or after:
                     want.add((d, m.start() + 1, before, after))
-    got = queries.split_word_scan_all(spark, str(tmp_path)).collect()
+    got = queries.split_word_scan(spark, str(tmp_path)).collect()
     assert {(r["doc_id"], r["i"], r["prefix"], r["suffix"]) for r in got} == want and len(got) == len(want)
     assert {r["doc_id"] for r in got} == {1, 2} and len(want) == 4
