@@ -161,9 +161,12 @@ def test_repeated_rows_have_record_ids_of_their_own(spark, tmp_path):
 def test_archives_of_many_members_and_plain_ones():
     import gzip
 
-    whole = [r + warc.END for r in warc.records(5, "http://x/", b"\r\n\r\nWARC/1.1" * 3_000, None)]
+    payload = b"\r\n\r\nWARC/1.1" * 3_000  # 36,000 bytes and their framing: two full segments and a rest
+    whole = [r + warc.END for r in warc.records(5, "http://x/", payload, None)]
     want = [b for _, b in warc.parsed(b"".join(whole))]
-    assert len(want) == 4 and [b for _, b in warc.parsed(b"".join(map(gzip.compress, whole)))] == want
+    assert [len(b) for b in want[:-1]] == [warc.SEGMENT] * 2 and 0 < len(want[-1]) < warc.SEGMENT
+    assert warc.unchunked(b"".join(want).partition(warc.END)[2]) == payload
+    assert [b for _, b in warc.parsed(b"".join(map(gzip.compress, whole)))] == want
     with pytest.raises(ValueError):
         list(warc.parsed(b"".join(whole)[:-10]))
     with pytest.raises(ValueError):
