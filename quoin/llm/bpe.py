@@ -23,12 +23,13 @@ from pyspark.sql import DataFrame
 
 from quoin.llm.common import annotated
 
-#: Words and pre-tokens whose ids a worker remembers; beyond that it starts anew. Only speed depends on it.
-MEMO = 400_000
+#: Words, and pre-tokens, whose ids a worker remembers: so many recent ones, and as many that were remembered before those. Only speed depends on it.
+MEMO = 500_000
 #: Longer ones are never remembered.
 MEMO_CHARS = 64
 #: Bits of a bitmap word.
 WORD = 8
+LAST = (1 << WORD) - 1
 
 #: White space and what follows up to the next: no pre-token reaches over such a piece's ends.
 pieces = re.compile(r"\s*\S+|\s+").findall
@@ -37,7 +38,7 @@ unsure = re.compile("[\x1c-\x1f]").search
 
 
 class Codec(dict):
-    """Maps a piece of text to its ids as little-endian unsigned 32-bit integers; a memo of bounded size."""
+    """Maps a piece of text to its ids as little-endian unsigned 32-bit integers; a memo of bounded size in two generations."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         super().__init__()
@@ -46,12 +47,20 @@ class Codec(dict):
         self.tokens: list[bytes] = [b""] * self.size
         for token, rank in ranks.items():
             self.tokens[rank] = token
-        # a pair of tokens has the rank of its bytes, however they are parted
-        self.pairs = {ranks[t[:i]] * self.size + ranks[t[i:]]: r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
+        # a pair of tokens has the rank of its bytes, however they are parted: by its first token, then its second
+        self.pairs: list[dict[int, int]] = [{}] * (self.size + 1)  # the last is that of no token
+        for token, rank in ranks.items():
+            for i in range(1, len(token)):
+                if (x := ranks.get(token[:i])) is not None and (y := ranks.get(token[i:])) is not None:
+                    if not self.pairs[x]:
+                        self.pairs[x] = {}
+                    self.pairs[x][y] = rank
         self.bytes = [ranks.get(bytes([b])) for b in range(256)]
-        self.buckets: list[list[int] | None] = [None] * self.size  # positions by rank, lowest first
+        self.doubles = [ranks.get(bytes([a, b]), -1) for a in range(256) for b in range(256)]  # ranks of two bytes
+        self.buckets: list[int | list[int] | None] = [None] * self.size  # the position of a rank, or several as a heap
         self.words = [0] * ((self.size >> WORD) + 1)  # which buckets of a word hold something
         self.parts: dict[str, bytes] = {}
+        self.earlier: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})  # pieces and parts that gave way; those met again come back
         # \s in the pattern means the Unicode White_Space property
         self.split = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}")).findall
 
@@ -59,32 +68,34 @@ class Codec(dict):
         """The ids of one pre-token."""
         if (whole := self.ranks.get(piece)) is not None:
             return [whole]
-        n, size, pair, buckets, words = len(piece), self.size, self.pairs.get, self.buckets, self.words
-        token = [self.bytes[b] for b in piece]
+        n, pairs, doubles, buckets, words = len(piece), self.pairs, self.doubles, self.buckets, self.words
+        none = self.size  # stands behind the last token and, as index -1, before the first; it pairs with nothing
+        token = [*map(self.bytes.__getitem__, piece), none]
         after, before = list(range(1, n + 2)), list(range(-1, n))
-        now = [-1] * (n + 1)  # the rank of the pair that begins here
+        now = [doubles[x << 8 | y] for x, y in zip(piece, piece[1:])]  # the rank of the pair that begins here, or -1
         top = 0  # which words hold something
-        last = (1 << WORD) - 1
-        for i in range(n - 1):
-            r = pair(token[i] * size + token[i + 1])
-            if r is not None:
-                now[i] = r
+        for i, r in enumerate(now):
+            if r >= 0:
                 bucket = buckets[r]
                 if bucket is None:
-                    buckets[r] = [i]
-                    words[r >> WORD] |= 1 << (r & last)
+                    buckets[r] = i
+                    words[r >> WORD] |= 1 << (r & LAST)
                     top |= 1 << (r >> WORD)
+                elif type(bucket) is int:
+                    buckets[r] = [bucket, i]
                 else:
                     bucket.append(i)  # in ascending order, hence a heap
+        now += (-1, -1)
         while top:
             w = (top & -top).bit_length() - 1
             x = words[w]
             r = (w << WORD) + (x & -x).bit_length() - 1
-            bucket = buckets[r]
-            if len(bucket) > 1:
-                i = heappop(bucket)
+            i = buckets[r]
+            if type(i) is not int and len(i) > 1:
+                i = heappop(i)
             else:
-                i = bucket[0]
+                if type(i) is not int:
+                    i = i[0]
                 buckets[r] = None
                 words[w] = x = x & (x - 1)
                 if not x:
@@ -92,47 +103,59 @@ class Codec(dict):
             if now[i] != r:
                 continue  # stale
             gone = after[i]
-            now[gone] = now[i] = -1
             after[i] = end = after[gone]
             before[end] = i
             token[i] = r
+            now[gone] = token[gone] = -1
+            r2 = pairs[r].get(token[end])
+            if r2 is None:
+                now[i] = -1
+            else:
+                now[i] = r2
+                bucket = buckets[r2]
+                if bucket is None:
+                    buckets[r2] = i
+                    words[r2 >> WORD] |= 1 << (r2 & LAST)
+                    top |= 1 << (r2 >> WORD)
+                elif type(bucket) is int:
+                    buckets[r2] = [bucket, i] if bucket < i else [i, bucket]
+                else:
+                    heappush(bucket, i)
             j = before[i]
-            for a, b in ((i, end), (j, i)):
-                if a < 0 or b >= n:
-                    continue
-                r2 = pair(token[a] * size + token[b])
-                if r2 is None:
-                    now[a] = -1
-                elif now[a] != r2:
-                    now[a] = r2
-                    bucket = buckets[r2]
-                    if bucket is None:
-                        buckets[r2] = [a]
-                        words[r2 >> WORD] |= 1 << (r2 & last)
-                        top |= 1 << (r2 >> WORD)
-                    else:
-                        heappush(bucket, a)
-        out, i = [], 0
-        while i < n:
-            out.append(token[i])
-            i = after[i]
-        return out
+            r2 = pairs[token[j]].get(r)
+            if r2 is None:
+                now[j] = -1
+            elif now[j] != r2:
+                now[j] = r2
+                bucket = buckets[r2]
+                if bucket is None:
+                    buckets[r2] = j
+                    words[r2 >> WORD] |= 1 << (r2 & LAST)
+                    top |= 1 << (r2 >> WORD)
+                elif type(bucket) is int:
+                    buckets[r2] = [bucket, j] if bucket < j else [j, bucket]
+                else:
+                    heappush(bucket, j)
+        del token[n]
+        return [t for t in token if t is None or t >= 0]
 
     def part(self, word: str) -> bytes:
         """The ids of a pre-token."""
         ids = self.parts.get(word)
         if ids is None:
-            ids = array("I", self.merge(word.encode("utf-8"))).tobytes()
+            ids = self.earlier[1].get(word) or array("I", self.merge(word.encode("utf-8"))).tobytes()
             if len(word) <= MEMO_CHARS:
                 if len(self.parts) >= MEMO:
-                    self.parts.clear()
+                    self.earlier = self.earlier[0], self.parts
+                    self.parts = {}
                 self.parts[word] = ids
         return ids
 
     def __missing__(self, piece: str) -> bytes:
-        ids = b"".join(map(self.part, self.split(piece)))
+        ids = self.earlier[0].get(piece) or b"".join(map(self.part, self.split(piece)))
         if len(piece) <= MEMO_CHARS:
             if len(self) >= MEMO:
+                self.earlier = dict(self), self.earlier[1]
                 self.clear()
             self[piece] = ids
         return ids

@@ -287,6 +287,16 @@ def test_bpe_pieces_are_safe_to_part():
         assert np.frombuffer(mine.encode(s), "<u4").tolist() == own.encode_ordinary(s), repr(s)
 
 
+def test_bpe_memo_is_bounded_and_changes_nothing(monkeypatch):
+    monkeypatch.setattr(bpe, "MEMO", 5)
+    own, mine, rng = reference_encoding(), bpe.codec.__wrapped__(PATH, public_tokenizers.PATTERN), random.Random(9)
+    words = ["river", "stone,", "bread", "a" * 70, "cloud!!", "don't", "x1", "é", "漢字", "of"]
+    for _ in range(60):
+        s = " ".join(rng.choices(words, k=12))
+        assert np.frombuffer(mine.encode(s), "<u4").tolist() == own.encode_ordinary(s)
+        assert max(len(mine), len(mine.parts), *map(len, mine.earlier)) <= 5
+
+
 def test_toxicity_learns_from_documents_and_finds_sentences(spark):
     rng = random.Random(8)
     clean = lambda n: " ".join(" ".join(rng.choice(["sun", "river", "stone", "bread", "cloud", "you", "man"]) for _ in range(8)) + "." for _ in range(n))
