@@ -23,8 +23,10 @@ from pyspark.sql import DataFrame
 
 from quoin.llm.common import annotated
 
-#: Words, and pre-tokens, whose ids a worker remembers: so many recent ones, and as many that were remembered before those. Only speed depends on it.
-MEMO = 500_000
+#: Pre-tokens whose ids a worker remembers: so many recent ones, and as many that were remembered before those. Only speed depends on it.
+MEMO = 300_000
+#: Likewise words, which cost less to put together again from their pre-tokens.
+MEMO_WORDS = 100_000
 #: Longer ones are never remembered.
 MEMO_CHARS = 64
 #: Bits of a bitmap word.
@@ -154,7 +156,7 @@ class Codec(dict):
     def __missing__(self, piece: str) -> bytes:
         ids = self.earlier[0].get(piece) or b"".join(map(self.part, self.split(piece)))
         if len(piece) <= MEMO_CHARS:
-            if len(self) >= MEMO:
+            if len(self) >= MEMO_WORDS:
                 self.earlier = dict(self), self.earlier[1]
                 self.clear()
             self[piece] = ids

@@ -289,6 +289,7 @@ def test_bpe_pieces_are_safe_to_part():
 
 def test_bpe_memo_is_bounded_and_changes_nothing(monkeypatch):
     monkeypatch.setattr(bpe, "MEMO", 5)
+    monkeypatch.setattr(bpe, "MEMO_WORDS", 5)
     own, mine, rng = reference_encoding(), bpe.codec.__wrapped__(PATH, public_tokenizers.PATTERN), random.Random(9)
     words = ["river", "stone,", "bread", "a" * 70, "cloud!!", "don't", "x1", "é", "漢字", "of"]
     for _ in range(60):
