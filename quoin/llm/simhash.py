@@ -11,6 +11,9 @@ missed, and five masks together leave at most 10 bits open, so 1,024 fingerprint
 is still larger after the fifth is cut by a hash, and its parts meet pair by pair.) Alternating large-star and small-star
 steps, each written to the shared folder, join the forests into components.
 
+Joins of tables that grow are hinted to be sort-merge joins: Spark takes a table read from files to be as large as its files,
+compressed and before its rows are multiplied by masks or ways, and would broadcast far more than its threshold through the driver.
+
 Null text counts as empty: fingerprint zero. Rows with equal doc_id are rows of their own; a component's id is its
 smallest doc_id, null only if all its doc_ids are null. Other columns do not matter. An empty table gives no rows.
 """
@@ -32,6 +35,8 @@ RADIUS, WORDS, SEED = 4, 4, 42
 #: Fingerprints compared in one group; a larger bucket is parted by the next family of masks.
 BUCKET = 1024
 FAMILIES = 5
+#: So many repeated ids may be broadcast.
+FEW = 100_000
 
 
 def fingerprint(text: bytes, words: int = WORDS, seed: int = SEED) -> int:
@@ -102,7 +107,7 @@ def links(nodes: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataF
     for family in range(FAMILIES):
         dealt = keyed(rows, radius, family)
         sizes = dealt.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-        shared = settled(dealt.join(sizes, "key"), "buckets")
+        shared = settled(dealt.join(sizes.hint("merge"), "key"), "buckets")
         used.append(shared)
         groups = shared.where(F.col("n") <= bucket).groupBy("key").agg(F.collect_list("fp").alias("fps")).select("fps")
         every = groups if every is None else every.unionByName(groups)
@@ -127,10 +132,10 @@ def components(edges: DataFrame) -> DataFrame:
     while state[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = spread_join(both.where("b > a"), least, ["a"], ["b"], "inner").select(F.col("m").alias("a"), "b").where("a < b").distinct()
+        large = spread_join(both.where("b > a"), least.hint("merge"), ["a"], ["b"], "inner").select(F.col("m").alias("a"), "b").where("a < b").distinct()
         large = settled(large, "large")
         low = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(low, "b").where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b")).unionByName(low.select(F.col("m").alias("a"), "b")).distinct()
+        small = large.join(low.hint("merge"), "b").where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b")).unionByName(low.select(F.col("m").alias("a"), "b")).distinct()
         old, now = now, settled(small, "small")
         dropped(large)
         dropped(old)
@@ -148,13 +153,13 @@ def cluster(docs: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> Data
     edges = links(groups.select("fp"), radius, bucket)
     roots = components(edges)
     dropped(edges)
-    whole = settled(groups.join(roots, groups["fp"] == roots["node"], "left").select("fp", "least", "root"), "roots")
+    whole = settled(groups.join(roots.hint("merge"), groups["fp"] == roots["node"], "left").select("fp", "least", "root"), "roots")
     linked = whole.where("root is not null")
     named = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     alone = whole.where("root is null").select(F.col("fp").alias("_fp"), F.col("least").alias("component_id"), F.col("fp").alias("_root"))
-    of = settled(alone.unionByName(spread_join(linked, named, ["root"], ["fp"], "inner").select(F.col("fp").alias("_fp"), "component_id", F.col("root").alias("_root"))), "classes")
+    of = settled(alone.unionByName(spread_join(linked, named.hint("merge"), ["root"], ["fp"], "inner").select(F.col("fp").alias("_fp"), "component_id", F.col("root").alias("_root"))), "classes")
     dropped(groups)
-    return spread_join(marked, of, ["_fp"], ["doc_id"], "inner")
+    return spread_join(marked, of.hint("merge"), ["_fp"], ["doc_id"], "inner")
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -164,13 +169,16 @@ def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     best = held.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
     among = lambda ids: F.col("doc_id").eqNullSafe(ids["_id"])
     twins = settled(docs.groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("doc_id").alias("_id")), "twins")
-    if twins.isEmpty():
+    repeated = twins.count()
+    if not repeated:
         return docs.join(best, among(best), "left_semi").select(names)
+    if repeated > FEW:
+        twins = twins.hint("merge")
     # rows with the same doc_id, or none, may be of one component or of several
     alone = docs.join(twins, among(twins), "left_anti").join(best, among(best), "left_semi").select(names)
     some = docs.join(twins, among(twins), "left_semi")
     prints = fingerprints(some.select(*[c.alias(f"_{i}") for i, c in enumerate(names)], F.col("text")))
-    rows = prints.join(held.select("_fp", "component_id", "_root").distinct(), "_fp")
+    rows = prints.join(held.select("_fp", "component_id", "_root").distinct().hint("merge"), "_fp")
     own, text = F.col(f"_{docs.columns.index('doc_id')}"), F.col(f"_{docs.columns.index('text')}")
     one = rows.where(own.eqNullSafe(F.col("component_id"))).withColumn("_rn", F.row_number().over(Window.partitionBy("_root").orderBy(text, row_key(prints.drop("_fp"))))).where("_rn = 1")
     return alone.unionByName(one.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns)]))
