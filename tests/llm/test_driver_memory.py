@@ -6,7 +6,7 @@ import brute
 import pytest
 
 import corpus_pipeline
-from quoin.llm import simhash
+from quoin.llm import queries, simhash
 
 
 @pytest.fixture
@@ -46,3 +46,11 @@ def test_near_dedup_broadcasts_no_table_that_grows(spark, folder, plans, monkeyp
     for row, part in zip(rows, parts, strict=True):
         best[part] = min(best.get(part, row), row, key=lambda x: (x[0] is None, x[0] or 0, x[1] or ""))
     assert sorted(map(tuple, kept.collect()), key=str) == sorted(best.values(), key=str)
+
+
+def test_op4_broadcasts_nothing(spark, folder, plans):
+    at, rows = folder
+    out = queries.op4_simhash(spark, at)
+    assert [name for name, plan in [*plans, ("out", out._jdf.queryExecution().executedPlan().toString())] if "Broadcast" in plan] == []
+    parts = brute.components([i for i, _ in rows], [brute.fingerprint((t or "").encode()) for _, t in rows])
+    assert sorted((str(r["doc_id"]), str(r["component_id"])) for r in out.collect()) == sorted((str(i), str(p)) for (i, _), p in zip(rows, parts, strict=True))
