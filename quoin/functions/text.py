@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import sys
+import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -14,8 +16,19 @@ SPACE = r"\s\x1c-\x1f"
 LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 
 
+#: The same characters, one by one.
+SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+
+
+def let(x: Column, then: Callable[[Column], Column]) -> Column:
+    """then(x), with x made once however often it is used there."""
+    return F.transform(F.array(x), then)[0]
+
+
 def strip(x: Column) -> Column:
-    return F.regexp_replace(x, rf"(?U)\A[{SPACE}]+|[{SPACE}]+\z", "")
+    """Only texts that begin or end with white space are searched for it."""
+    outer = F.contains(F.lit(SPACES), F.substring(x, 1, 1)) | F.contains(F.lit(SPACES), F.substring(x, -1, 1))
+    return F.when(outer, F.regexp_replace(x, rf"(?U)\A[{SPACE}]+|[{SPACE}]+\z", "")).otherwise(x)
 
 
 def normalize_text(x: Column) -> Column:
@@ -50,15 +63,39 @@ def _foldings() -> tuple[str, str, tuple[tuple[str, str], ...]]:
     return "".join(one), "".join(to), tuple(many)
 
 
+def _is_odd(c: str) -> bool:
+    """Whether a character's folding may not be its lower case, in any locale of the JVM and any later version of Unicode."""
+    if c <= "\u052f":
+        return c.casefold() != c.lower() or len(c.lower()) > 1 or c in "ΣÌÍĨ" or unicodedata.category(c) in ("Mn", "Cn")
+    return c.casefold() != c or c.lower() != c or unicodedata.category(c) == "Cn"
+
+
+@lru_cache(maxsize=1)
+def _odd() -> str:
+    """A class of all odd characters but ß; beyond U+052F near ones are joined to one range."""
+    ranges: list[list[int]] = []
+    for c in range(0x80, sys.maxunicode + 1):
+        if chr(c) != "ß" and _is_odd(chr(c)):
+            if ranges and c - ranges[-1][1] <= (1 if c <= 0x52F else 96):
+                ranges[-1][1] = c
+            else:
+                ranges.append([c, c])
+    return r"[[^\x00-\x7f]&&[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges) + "]]"
+
+
 def fold(x: Column) -> Column:
-    """Full Unicode case folding; the table comes from str.casefold. Of the characters that fold to several, only those that a text has are replaced."""
+    """Full Unicode case folding, by str.casefold: lower case with ß as ss, but for texts with odd characters."""
+    return F.when(~x.rlike(_odd()), F.replace(F.lower(F.replace(x, F.lit("I"), F.lit("i"))), F.lit("ß"), F.lit("ss"))).otherwise(_fold_odd(x))
+
+
+def _fold_odd(x: Column) -> Column:
+    """The table comes from str.casefold. Of the characters that fold to several, only those that a text has are replaced."""
     one, to, many = _foldings()
     several = "[" + "".join(c for c, _ in many) + "]"
     table = F.create_map(*(F.lit(y) for pair in many for y in pair))
     found = F.array_distinct(F.regexp_extract_all(x, F.lit(several), F.lit(0)))
     out = F.aggregate(found, F.translate(x, one, to), lambda acc, c: F.replace(acc, c, table[c]))
-    plain = ~x.rlike(r"[^\x00-\x7f]")
-    return F.when(plain, F.lower(x)).when(~x.rlike(several), F.translate(x, one, to)).otherwise(out)
+    return F.when(~x.rlike(several), F.translate(x, one, to)).otherwise(out)
 
 
 def match_text(x: Column, ignored: Column | None = None) -> Column:
