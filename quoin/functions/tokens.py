@@ -12,8 +12,8 @@ FORMULA = r"\{v\d+\}"
 STYLE = r"<style\s+id=['\"]\d+['\"]>|</style>"
 URL = r"https?://[^\s)\]}>,;，。；：！？）】》]+"
 DOI = r"\b10\.\d{4,9}/[^\s)\]}>,;，。；：！？）】》]+"
-NUMBER = r"(?<![\dA-Za-z])[-+−]?\d+(?:[.,]\d+)?(?:[eE][-+]?\d+)?"
-ABBREVIATION = r"(?<![A-Za-z0-9])(?:[A-Z][A-Z0-9-]{1,})(?![A-Za-z0-9])"
+NUMBER = r"(?=[-+−\d])(?<![\dA-Za-z])[-+−]?\d+(?:[.,]\d+)?(?:[eE][-+]?\d+)?"
+ABBREVIATION = r"(?=[A-Z])(?<![A-Za-z0-9])(?:[A-Z][A-Z0-9-]{1,})(?![A-Za-z0-9])"
 NOT_ABBREVIATIONS = ("ABSTRACT", "KEYWORDS", "REFERENCES")
 UNIT = r"(?<![A-Za-z])(?:%|°[CF]?|mm|cm|m|km|Pa|hPa|K|W\s*m-?2|g\s*C\s*m-?2(?:\s*d-?1)?|µmol\s*m-?2\s*s-?1)(?![A-Za-z])"
 CJK = "[㐀-鿿]"
@@ -47,7 +47,7 @@ def tokens(x: Column, category: str) -> Column:
         return _bare(_all(x, URL, True))
     if category == "doi":
         # a word character before it is a letter, a number of any kind or an underscore
-        return _bare(_all(x, DOI.replace(r"\b", r"(?<![\p{L}\p{N}_])"), True))
+        return _bare(_all(x, DOI.replace(r"\b", r"(?=1)(?<![\p{L}\p{N}_])"), True))
     if category == "number":
         return _all(x, NUMBER)
     if category == "abbreviation":
@@ -85,5 +85,10 @@ def ascii_letters(x: Column) -> Column:
     return F.regexp_count(x, F.lit("[A-Za-z]"))
 
 
+def has_ascii_letters(x: Column, n: int) -> Column:
+    """Whether there are n at least: looks no further than the n-th."""
+    return x.rlike(rf"\A(?:[^A-Za-z]*+[A-Za-z]){{{n}}}")
+
+
 def page_placeholders(x: Column, first: int = 10) -> Column:
     return F.slice(_all(x, PAGE_PLACEHOLDER, True), 1, first)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quoin.functions import tokens as T
-from quoin.functions.text import fold, is_blank, segment_id
+from quoin.functions.text import fold, is_blank, let, segment_id
 
 POLICIES = ("preserve", "translate-titles")
 #: Fixed value: sources with so many ASCII letters need a CJK character in the target.
@@ -28,21 +28,25 @@ def glossary_errors(source: Column, target: Column, glossary: list[dict]) -> Col
 
 def errors(source: Column, target: Column, glossary: list[dict] | None = None, require_cjk: bool = True) -> Column:
     """Codes of all violations, in order; a blank target has exactly one."""
-    s = {c: T.tokens(source, c) for c in T.CATEGORIES}
-    t = {c: T.tokens(target, c) for c in T.CATEGORIES}
-    found = [F.when(~T.same_multiset(s[c], t[c]), F.lit(f"{c}_mismatch")) for c in ("formula", "style", "url", "doi")]
-    for c in ("number", "abbreviation", "unit"):
-        lost = T.missing(s[c], t[c])
-        found.append(F.when(F.size(lost) > 0, F.concat(F.lit(f"{c}_missing:"), F.array_join(lost, "|"))))
-    found.append(F.when(s["style"] != t["style"], F.lit("style_order")))
+    # tokens are used several times and within lambdas, where each use would search the text again
+    out = let(F.struct(T.protected(source).alias("s"), T.protected(target).alias("t")), lambda found: _token_errors(found["s"], found["t"]))
     if require_cjk:
-        found.append(F.when((T.ascii_letters(source) >= LONG_SOURCE) & ~T.has_cjk(target), F.lit("cjk_missing")))
-    out = F.filter(F.array(*found), lambda e: e.isNotNull())
+        foreign = F.when(T.has_ascii_letters(source, LONG_SOURCE) & ~T.has_cjk(target), F.array(F.lit("cjk_missing"))).otherwise(F.array().cast("array<string>"))
+        out = F.concat(out, foreign)
     if glossary and required(glossary):
-        out = F.concat(out, glossary_errors(fold(source), fold(target), glossary))
+        out = F.concat(out, let(F.struct(fold(source).alias("s"), fold(target).alias("t")), lambda folded: glossary_errors(folded["s"], folded["t"], glossary)))
     return F.when(is_blank(target), F.array(F.lit("blank"))).otherwise(out)
 
 
+def _token_errors(s: Column, t: Column) -> Column:
+    found = [F.when(~T.same_multiset(s[c], t[c]), F.lit(f"{c}_mismatch")) for c in ("formula", "style", "url", "doi")]
+    for c in ("number", "abbreviation", "unit"):
+        code = F.lit(f"{c}_missing:")
+        found.append(let(F.struct(T.missing(s[c], t[c]).alias("lost"), code.alias("code")), lambda x: F.when(F.size(x["lost"]) > 0, F.concat(x["code"], F.array_join(x["lost"], "|")))))
+    found.append(F.when(s["style"] != t["style"], F.lit("style_order")))
+    return F.filter(F.array(*found), lambda e: e.isNotNull())
+
+
 def routed_errors(source: Column, target: Column, glossary: list[dict] | None, policy: str, is_passthrough: Column, is_reference: Column) -> Column:
     """Which rule holds for a row: passthrough and preserved references must equal their source; translated references need no glossary."""
     if policy not in POLICIES:
