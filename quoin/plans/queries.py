@@ -166,20 +166,21 @@ def split_word_scan(spark, sf_dir):
 
 
 def _coverage_pairs(spark, sf_dir):
-    """Every non-blank line with its document, whose text is normalised once."""
+    """Every non-blank line, and each document's text, normalised once."""
     d = table(spark, sf_dir, "documents").select("doc_id", match_text(F.col("text")).alias("region"))
-    return lines(spark, sf_dir).select("doc_id", "pos", "line_no", match_text(F.col("source")).alias("candidate")).join(d, "doc_id")
+    return lines(spark, sf_dir).select("doc_id", "pos", match_text(F.col("source")).alias("candidate")), d
 
 
 def coverage_fastpath(spark, sf_dir):
     """Every line against the text it is from."""
-    return regions.coverage(_coverage_pairs(spark, sf_dir)).select("doc_id", "pos", F.length("candidate").alias("n"), F.length("region").alias("m"), "coverage")
+    got = regions.coverage_within(*_coverage_pairs(spark, sf_dir))
+    return got.select("doc_id", "pos", F.length("candidate").alias("n"), F.col("region_length").alias("m"), "coverage")
 
 
 def coverage_full(spark, sf_dir):
     """Whole texts, every line; the two letters in front send pairs to the aligner that would be contained."""
-    p = _coverage_pairs(spark, sf_dir).select("doc_id", "pos", F.concat(F.lit("zq"), "candidate").alias("candidate"), "region")
-    return regions.coverage_within(p).select("doc_id", "pos", "coverage")
+    p, d = _coverage_pairs(spark, sf_dir)
+    return regions.coverage_within(p.withColumn("candidate", F.concat(F.lit("zq"), "candidate")), d).select("doc_id", "pos", "coverage")
 
 
 def blocks(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
